@@ -206,3 +206,28 @@ def settled(df):
     """The rows of df, computed once and kept in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables written to the shared folder while an operator runs, and removed after it."""
+
+    def __init__(self, spark):
+        import uuid
+
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def put(self, df):
+        """df written as Parquet and read again: its lineage is cut and any executor can read it."""
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
