@@ -181,11 +181,16 @@ def repeated(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return many, later
 
 
-def map_arrow(df, function: Callable, schema: str):
-    """mapInArrow whose workers can import this package where the folder is shared with them."""
-    environment = df.sparkSession.sparkContext.environment
+def reachable(spark) -> None:
+    """Let Python workers import this package where its folder is shared with them."""
+    environment = spark.sparkContext.environment
     if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, environment.get("PYTHONPATH", "")]))
+
+
+def map_arrow(df, function: Callable, schema: str):
+    """mapInArrow by workers that can import this package."""
+    reachable(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

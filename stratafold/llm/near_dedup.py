@@ -10,9 +10,14 @@ components are filled. Two signatures agree in a component with the weighted
 Jaccard similarity as probability.
 
 Equal texts are one node, found by digest. Nodes that share a band's bucket are
-checked first against hubs of the bucket, then, only in buckets that still hold
-several components, every pair of different components, so each candidate pair is
-verified or lies within a class already. Links are pairs of similarity 0.8 or
+checked first against hubs of the bucket; then, in buckets that still hold several
+components, its members are dealt into blocks of bounded size, and each pair of
+blocks is compared as a whole by one matrix product, which gives the overlap of
+every pair without a row for it and yields at most a spanning tree of new links. So
+each candidate pair is verified or lies within a class already. Before texts are fetched, pairs are screened by
+four bits of each signature component: a pair stays unless it disagrees in five
+standard deviations more components than the similarity asks for, so that the
+screen loses fewer links than banding itself. Links are pairs of similarity 0.8 or
 more; classes are connected components by alternating large and small stars.
 All of that is aggregations and skew-splittable joins over tables in the shared
 folder; nothing but counts reaches the driver.
@@ -39,6 +44,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 HUBS = 3
+NIBBLES = 16
+#: Runs of words in a block, on average, and columns of a matrix that are filled at a time.
+BLOCK_RUNS = 200_000
+WIDTH = 4096
 
 
 def shingles(block: K.Block, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +126,32 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each component, sixteen components in a long integer."""
+    n, m = signature.shape
+    bits = np.zeros((n, -(-m // NIBBLES) * NIBBLES), dtype=np.uint64)
+    bits[:, :m] = K.mix(signature.view(np.uint64)) >> np.uint64(60)
+    places = np.arange(NIBBLES, dtype=np.uint64) * np.uint64(4)
+    return (bits.reshape(n, -1, NIBBLES) << places).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def _sketch_names(m: int, prefix: str = "s") -> list[str]:
+    return [f"{prefix}{i}" for i in range(-(-m // NIBBLES))]
+
+
+def _close(m: int, similarity: float, one: str, two: str):
+    """Do two sketches disagree in no more components than a pair of the similarity may."""
+    ones = int("1" * NIBBLES, 16)
+    different = F.lit(0)
+    for a, b in zip(_sketch_names(m, one), _sketch_names(m, two)):
+        x = F.col(a).bitwiseXOR(F.col(b))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        different = different + F.bit_count(x.bitwiseAND(F.lit(ones)))
+    p = similarity + (1 - similarity) / NIBBLES
+    return different <= int(m * (1 - p) + 5 * np.sqrt(m * p * (1 - p)))
+
+
 def _fingerprints(numbered: DataFrame, bands: int, rows: int) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,17 +159,19 @@ def _fingerprints(numbered: DataFrame, bands: int, rows: int) -> DataFrame:
                 n = len(block)
                 _, keys, owner, count = counted(*shingles(block))
                 size = np.bincount(owner, weights=count, minlength=n).astype(np.int64)
-                hashes = band_hashes(bag_signature(keys, owner, count, n, bands * rows), bands, rows)
+                signature = bag_signature(keys, owner, count, n, bands * rows)
+                hashes, sketch = band_hashes(signature, bands, rows), sketches(signature)
                 raw = block.data.tobytes()
                 digest = [hashlib.md5(raw[a:b], usedforsecurity=False).digest() for a, b in zip(block.offsets[:-1], block.offsets[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(size > 0, bands, 0))], pa.int32()), pa.array(hashes[size > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int64()), pa.array(digest, pa.binary()), pa.array(size), lists], ["rid", "doc_id", "digest", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int64()), pa.array(digest, pa.binary()), pa.array(size), lists, *(pa.array(c) for c in sketch.T)], ["rid", "doc_id", "digest", "n", "bands", *names])
 
-    return K.map_arrow(numbered, signed, "rid long, doc_id long, digest binary, n long, bands array<long>")
+    names = _sketch_names(bands * rows)
+    return K.map_arrow(numbered, signed, f"rid long, doc_id long, digest binary, n long, bands array<long>, {', '.join(f'{c} long' for c in names)}")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts have a multiset overlap of at least ``least``."""
+def _verified(pairs: DataFrame, numbered: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts have a multiset overlap of at least ``least``. Texts are fetched by a sort-merge join at every size."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +191,79 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 yield left.select(["a", "b"]).filter(pa.array((shared >= least * whole - 1e-9) & (whole > 0)))
                 at += n
 
-    one = texts.select(F.col("nid").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("nid").alias("b"), F.col("text").alias("tb"))
-    return K.map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb"), rows, "a long, b long")
+    both = pairs.select(F.col("a").alias("rid"), "a", "b").union(pairs.select("b", "a", "b"))
+    found = both.join(numbered.select("rid", "text").hint("merge"), "rid").groupBy("a", "b").agg(F.min(F.struct("rid", "text")).alias("one"), F.max(F.struct("rid", "text")).alias("two"))
+    return K.map_arrow(found.select("a", "b", F.col("one.text").alias("ta"), F.col("two.text").alias("tb")), rows, "a long, b long")
+
+
+def _block_links(ids: np.ndarray, roots: np.ndarray, sides: np.ndarray, texts: pa.Array, least: float) -> list[tuple[int, int]]:
+    """Links of at least the overlap between texts of different roots, one for each two roots of a spanning tree.
+
+    Sides are 0 and 1; with both present only texts of different sides are compared.
+    """
+    keys, owner = shingles(K.Block(texts))
+    keys, owner = _numbered_runs(keys, owner)
+    names, at, often = np.unique(keys, return_inverse=True, return_counts=True)
+    n = len(ids)
+    size = np.bincount(owner, minlength=n)
+    shared = np.zeros((n, n), dtype=np.float32)
+    at = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[at]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, WIDTH):
+        a, b = np.searchsorted(at, [low, low + WIDTH])
+        part = np.zeros((n, WIDTH), dtype=np.float32)
+        part[owner[a:b], at[a:b] - low] = 1
+        shared += part @ part.T
+    whole = size[:, None] + size[None, :] - shared
+    good = (shared >= least * whole - 1e-4) & (whole > 0) & (roots[:, None] < roots[None, :])
+    if sides.any() and not sides.all():
+        good &= sides[:, None] != sides[None, :]
+    tree: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while tree.setdefault(x, x) != x:
+            tree[x] = tree[tree[x]]
+            x = tree[x]
+        return x
+
+    out = []
+    one, two = np.nonzero(good)
+    _, first = np.unique(np.stack([roots[one], roots[two]]), axis=1, return_index=True)
+    for i, j in zip(one[first].tolist(), two[first].tolist()):
+        x, y = top(int(roots[i])), top(int(roots[j]))
+        if x != y:
+            tree[max(x, y)] = min(x, y)
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _numbered_runs(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The multiset as a set: the second occurrence of a run in a text is another key than the first, and so on."""
+    _, key, text, count = counted(keys, owner)
+    row = np.repeat(np.arange(len(key)), count)
+    turn = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return K.mix(key[row] + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), text[row]
+
+
+def _between(members: DataFrame, numbered: DataFrame, least: float) -> DataFrame:
+    """New links (a, b) between different roots within each bucket of members (bucket, rid, n, root)."""
+    load = members.groupBy("bucket").agg(F.sum("n").alias("load"))
+    blocks = F.ceil(F.col("load") / BLOCK_RUNS).cast("int")
+    dealt = members.join(load, "bucket").select("bucket", "rid", "root", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("rid", "bucket"), F.col("blocks")).cast("int"))
+    full = dealt.join(numbered.select("rid", "text").hint("merge"), "rid")
+    pairs = full.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = pairs.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "rid", "root", "block", "text")
+
+    def linked(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rid").combine_chunks()
+        sides = table["block"].to_numpy() != table["i"].to_numpy()
+        texts = table["text"].combine_chunks()
+        found = _block_links(table["rid"].to_numpy(), table["root"].to_numpy(), sides, texts, least)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    K.reachable(numbered.sparkSession)
+    return tasks.groupBy("bucket", "i", "j").applyInArrow(linked, "a long, b long")
 
 
 def components(scratch: K.Scratch, links: DataFrame) -> DataFrame:
@@ -182,8 +289,8 @@ def _alike(a: str, b: str, least: float):
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of docs: rid (its number in the scan), doc_id, class_id, n_texts (different texts in the class), representative (one row of each class)."""
-    spark = docs.sparkSession
-    with K.Scratch(spark) as scratch:
+    m = bands * rows
+    with K.Scratch(docs.sparkSession) as scratch:
         numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
         prints = scratch.put(_fingerprints(numbered, bands, rows))
         nodes = scratch.put(
@@ -192,28 +299,29 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
                 F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "rid")).alias("rep"),
                 F.first("n").alias("n"),
                 F.first("bands").alias("bands"),
+                *(F.first(c).alias(c) for c in _sketch_names(m)),
             )
         )
+        sketch = {p: nodes.select(F.col("nid").alias(p), *(F.col(c).alias(p + c) for c in _sketch_names(m))) for p in ("a", "b", "x", "y")}
         placed = nodes.select("nid", "n", F.posexplode("bands").alias("band", "bucket"))
         rank = F.xxhash64("nid", F.col("band") % HUBS)
         hubs = scratch.put(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("rank"), "nid", "n")).alias("hub")).where("size > 1").select("bucket", F.col("hub.nid").alias("hub"), F.col("hub.n").alias("hub_n")))
         mates = scratch.put(placed.select("bucket", "nid", "n").join(hubs, "bucket"))
         near = mates.where((F.col("nid") != F.col("hub")) & _alike("n", "hub_n", similarity))
-        pairs = scratch.put(near.select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b")).distinct())
-        texts = scratch.put(numbered.select(F.col("rid").alias("nid"), "text").join(mates.select("nid").distinct(), "nid"))
-        links = scratch.put(_verified(pairs, texts, similarity))
-        roots = components(scratch, links)
-        # What shares a bucket and is not yet in one component: the smaller components against all others.
+        near = near.select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b")).distinct()
+        pairs = scratch.put(near.join(sketch["a"], "a").join(sketch["b"], "b").where(_close(m, similarity, "as", "bs")).select("a", "b"))
+        roots = components(scratch, scratch.put(_verified(pairs, numbered, similarity)))
+        # What shares a bucket and is not yet in one component.
         known = scratch.put(mates.select("bucket", "nid", "n").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
-        sizes = known.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-        mixed = scratch.put(sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("c", "root")).alias("most")).where("k > 1").select("bucket", F.col("most.root").alias("major")))
-        open_ = scratch.put(known.join(mixed, "bucket"))
-        minor = open_.where("root <> major").select("bucket", F.col("nid").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xroot"))
-        cross = minor.join(open_, "bucket").where((F.col("root") != F.col("xroot")) & ((F.col("root") == F.col("major")) | (F.col("x") < F.col("nid"))) & _alike("n", "xn", similarity))
-        rest = scratch.put(cross.select(F.least("x", "nid").alias("a"), F.greatest("x", "nid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-        more = scratch.put(_verified(rest, texts, similarity))
-        if not more.isEmpty():
-            roots = components(scratch, more.union(roots.select("node", "root")))
+        mixed = scratch.put(known.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"))
+        open_ = scratch.put(known.join(mixed.select("bucket"), "bucket").withColumnRenamed("nid", "y").join(sketch["y"], "y"))
+        other = open_.select(F.col("bucket").alias("own"), F.col("y").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xroot"), *(F.col("y" + c).alias("x" + c) for c in _sketch_names(m)))
+        maybe = (F.col("bucket") == F.col("own")) & (F.col("root") != F.col("xroot")) & _alike("n", "xn", similarity) & _close(m, similarity, "xs", "ys")
+        left = scratch.put(open_.join(other, maybe, "left_semi").select("bucket", F.col("y").alias("rid"), "n", "root"))
+        if not left.isEmpty():
+            more = scratch.put(_between(left, numbered, similarity))
+            if not more.isEmpty():
+                roots = components(scratch, more.union(roots.select("node", "root")))
         rooted = scratch.put(nodes.select("digest", "nid", "rep").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
         best = rooted.groupBy("root").agg(F.min("rep").alias("best"), F.count("*").alias("n_texts"))
         named = scratch.put(rooted.join(scratch.put(best), "root").select("digest", F.col("best.doc_id").alias("class_id"), F.col("best.rid").alias("best"), "n_texts"))
