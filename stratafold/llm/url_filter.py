@@ -23,7 +23,7 @@ from stratafold.llm.kernels import settled
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 BUCKETS = 2048
 GRAMS = (3, 4, 5)
-THRESHOLD = 0.5
+THRESHOLD = 0.7
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The labelled table: words that make up blocked and allowed hosts, spread over endings and paths.
@@ -79,7 +79,7 @@ def train(spark: SparkSession, table: DataFrame | None = None, size: int = BUCKE
     ones = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.array_contains(F.col("hits"), b).cast("double"))
     # settled, lest the n-grams are hashed again for each bucket
     rows = settled(table.select("label", F.array_distinct(hits).alias("hits"))).select("label", array_to_vector(ones).alias("features"))
-    model = LogisticRegression(maxIter=60, regParam=0.01, standardization=False).fit(rows.coalesce(1))
+    model = LogisticRegression(maxIter=60, regParam=0.001, standardization=False).fit(rows.coalesce(1))
     return model.coefficients.toArray().tolist(), float(model.intercept)
 
 
