@@ -82,7 +82,7 @@ def scan(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     apart = F.coalesce(F.col("base") | (F.col("first") > earlier["last"] + K_WORDS) | (F.abs(F.col("diagonal") - earlier["diagonal"]) > K_WORDS), F.lit(True))
     marked = votes.withColumn("span", F.sum(apart.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     spans = marked.groupBy("rid", "template", "label", "base", "runs", "span").agg(F.max("head").alias("head"), F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("diagonal").alias("diagonal"))
-    share = F.least(F.col("votes") / F.col("runs"), F.lit(1.0))
+    share = F.when(F.col("runs").isNotNull(), F.least(F.col("votes") / F.col("runs"), F.lit(1.0)))
     whole = F.col("base") & (F.col("votes") == F.col("runs"))
     found = whole | ~F.col("base") & (share >= coverage) & (F.col("votes") >= F.least(F.lit(LEAST_RUNS), F.col("runs")))
     return (

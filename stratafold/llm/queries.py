@@ -60,5 +60,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": corpus_pipeline.run} | {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+def _op3_sql() -> str:
+    """The same votes, with runs compared by their words."""
+    rows = [(n, label, "true", text) for n, (text, label) in enumerate(licences.BASE.items())]
+    rows += [(len(licences.BASE) + n, label, "false", text) for n, (label, text) in enumerate(licences.TEMPLATES)]
+    values = ", ".join(f"({n}, '{label}', {base}, string_split('{text}', ' '))" for n, label, base, text in rows)
+    k = licences.K_WORDS
+    return f"""
+        WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}'), '{licences.SPLIT}'), lambda w: w <> '') AS words FROM documents),
+        places AS (SELECT rid, words, unnest(range(len(words) - {k - 1})) AS place FROM docs),
+        runs AS (SELECT rid, place, words[place + 1] || ' ' || words[place + 2] || ' ' || words[place + 3] AS run FROM places),
+        templates(template, label, base, words) AS (VALUES {values}),
+        spots AS (SELECT template, label, base, len(words) - {k - 1} AS runs, words, unnest(range(len(words) - {k - 1})) AS spot FROM templates),
+        marks AS (SELECT template, label, base, runs, spot, words[spot + 1] || ' ' || words[spot + 2] || ' ' || words[spot + 3] AS run FROM spots),
+        votes AS (SELECT rid, template, label, base, marks.runs AS runs, place - spot AS diagonal, count(*) AS votes, min(place) AS first, max(place) AS last FROM runs JOIN marks USING (run) GROUP BY ALL),
+        earlier AS (SELECT *, max({{'last': last, 'diagonal': diagonal}}) OVER (PARTITION BY rid, template ORDER BY first, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM votes),
+        marked AS (SELECT *, sum(CASE WHEN coalesce(base OR first > e.last + {k} OR abs(diagonal - e.diagonal) > {k}, true) THEN 1 ELSE 0 END) OVER (PARTITION BY rid, template ORDER BY first, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM earlier),
+        spans AS (SELECT rid, template, label, base, runs, span, sum(votes) AS votes, max(diagonal) AS diagonal FROM marked GROUP BY ALL),
+        judged AS (SELECT *, base AND votes = runs AS whole, least(votes / runs, 1.0) AS share FROM spans),
+        found AS (SELECT *, whole OR (NOT base AND share >= {licences.COVERAGE} AND votes >= least({licences.LEAST_RUNS}, runs)) AS found FROM judged)
+        SELECT docs.doc_id, CAST(len(docs.words) AS BIGINT) AS n_words, CAST(count(*) FILTER (WHERE whole) AS BIGINT) AS n_base, CAST(min(diagonal) FILTER (WHERE whole) AS BIGINT) AS first_word, CAST(max(diagonal) FILTER (WHERE whole) AS BIGINT) AS last_word,
+            coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE whole), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found), '') AS labels,
+            CAST(coalesce(max(CASE WHEN base AND NOT whole THEN 0 ELSE share END), 0) AS DOUBLE) AS score
+        FROM docs LEFT JOIN found USING (rid) GROUP BY docs.rid, docs.doc_id, docs.words"""
+
+
+_OP9_SQL = f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS bytes FROM pages),
+    g AS (SELECT html, max(page_id) AS top FROM p GROUP BY html)
+    SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN bytes >= {warc.LEAST} AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN bytes >= {warc.LEAST} AND page_id <> top THEN top END AS refers_to
+    FROM p JOIN g USING (html)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express; the others train, segment or sign, and tests hold them against brute force."""
+    return {"op3_licence_scan": _op3_sql(), "op9_arc_to_warc": _OP9_SQL}
