@@ -74,7 +74,11 @@ def read_csv(spark: SparkSession, path: str, limit: int | None = None, **given)
     sep = given.get("sep") or delimiter(text)
     at = given.get("header", header_row(text, sep))
     names = [c.strip() or f"column_{i}" for i, c in enumerate(next(csv.reader([text.splitlines()[at]], delimiter=sep)))]
-    rows = spark.read.csv(path, sep=sep, encoding=code, header=at == 0, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, schema=", ".join(f"`{c}` string" for c in names), enforceSchema=True)
+    single = code.lower() not in ("utf-8", "utf-16", "iso-8859-1", "us-ascii")  # read byte for byte, then translated
+    rows = spark.read.csv(path, sep=sep, encoding="iso-8859-1" if single else code, header=at == 0, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, schema=", ".join(f"`{c}` string" for c in names), enforceSchema=True)
+    if single:
+        high = bytes(range(128, 256))
+        rows = rows.select(*(F.translate(f"`{c}`", high.decode("latin-1"), high.decode(code, "replace")).alias(c) for c in names))
     if at:
         # the lines before the header and the header itself, told by what they hold
         above = [next(csv.reader([line], delimiter=sep), []) for line in text.splitlines()[: at + 1] if line.strip()]
