@@ -83,7 +83,8 @@ def _(s, d):
 @register("contour_crossings")
 def _(s, d):
     est = idw_grid(s, d).join(grid.regular(s, GRID), "id").select("ix", "iy", "x", "y", F.col("estimate").alias("value"))
-    return grid.contour_crossings(est, [1000.0, 1050.0])
+    low, high = est.agg(F.min("value"), F.max("value")).first()
+    return grid.contour_crossings(est, [low + (high - low) * k / 4 for k in (1, 2, 3)])
 
 
 # --- neighbours ----------------------------------------------------------------------------------------------------
@@ -615,6 +616,9 @@ _METRICS = ", mm AS (SELECT avg(a) AS am, avg(p) AS pm, stddev_pop(a) AS asd, st
 ) + " FROM lv, mm"
 
 
+_EM_LOO = f", {NEAR_SQL.format(q='em', n='em', w='q.id <> n.id', r=0.1, k=12)}, {_LOO}"
+
+
 @register("leave_one_out", with_("em") + f", {NEAR_SQL.format(q='em', n='em', w='q.id <> n.id', r=0.1, k=12)}, {_LOO}{_METRICS.format(lead='')}")
 def _(s, d):
     return validation.leave_one_out(vector_points(s, d), _EMS)
