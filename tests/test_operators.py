@@ -265,3 +265,22 @@ def test_query_equals_sql(spark, sf, name):
 def test_entry_without_text_operators(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(plans.SQL) <= set(plans.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_relational_and_further_operators(spark, field):
+    from stratafold.operators import more
+
+    rng = np.random.default_rng(0)
+    normal = spark.createDataFrame([(float(x),) for x in rng.normal(0, 1, 200)], "v double")
+    skewed = spark.createDataFrame([(float(x),) for x in rng.exponential(1, 200)], "v double")
+    (w, p), (w2, p2) = more.shapiro(normal, "v"), more.shapiro(skewed, "v")
+    assert w > 0.98 and p > 0.05 and w2 < 0.9 and p2 < 1e-6
+    assert abs(more.best_power(skewed.select(F.exp("v").alias("v")), "v", "box_cox")) < 1.2
+    found = more.rbf_search(field.limit(20), ("gaussian",), 3, (1e-6,)).collect()
+    assert len(found) == 3 and all(r.rmse > 0 for r in found)
+    words = spark.createDataFrame([("open",), ("close",)], "message string")
+    table = spark.createDataFrame([("open", "öffnen"), ("menu|open", "auf")], "key string, text string")
+    assert {r.message: r.translated for r in more.translate(words, "message", table, "menu").collect()} == {"open": "auf", "close": "close"}
+    assert more.method_checks(field.limit(8), "kriging").where("level = 'error'").count() == 1
+    assert more.create_table_sql("w", {"id": "INTEGER"})[0] == "CREATE TABLE IF NOT EXISTS w (id INTEGER)"
+    assert more.table_info(field).count() == 4
