@@ -24,11 +24,19 @@ def numbered(df: DataFrame, order: Sequence[str], name: str = "row", partitions:
     return placed.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_at") + 1).cast("long")).drop("_part", "_at", "_before")
 
 
+def running_total(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Sum of the value over all rows up to each one, by partition totals in front of partition-wise sums."""
+    dealt = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    own = F.sum(value).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    sizes = dealt.groupBy("_part").agg(F.sum(value).alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(W.orderBy("_part")) - F.col("_size")).alias("_before"))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+
+
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """Ranks from 1 on, ties sharing their mean rank; nulls have none."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_c"))
-    ordered = numbered(counts, [column], "_row")
-    total = ordered.withColumn("_cum", F.sum("_c").over(W.orderBy(column)))
+    total = running_total(counts, [column], "_c", "_cum")
     return df.join(total.select(column, (F.col("_cum") - (F.col("_c") - 1) / 2).alias(name)), column, "left")
 
 

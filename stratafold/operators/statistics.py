@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratafold.functions.scalar import normal_cdf
-from stratafold.operators.ranks import numbered
+from stratafold.operators.ranks import numbered, running_total
 
 PERCENTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
@@ -50,7 +50,7 @@ def descriptive(df: DataFrame, value: str) -> DataFrame:
 def trimmed_mean(df: DataFrame, value: str, share: float) -> DataFrame:
     """Mean without the int(share * n) smallest and largest rows; ties are split by weight, so no row order is needed."""
     counts = _clean(df, value).groupBy("v").agg(F.count("*").alias("c"))
-    total = counts.withColumn("hi", F.sum("c").over(W.orderBy("v"))).withColumn("lo", F.col("hi") - F.col("c"))
+    total = running_total(counts, ["v"], "c", "hi").withColumn("lo", F.col("hi") - F.col("c"))
     n = F.broadcast(counts.agg(F.sum("c").alias("n")))
     cut = F.floor(F.col("n") * share)
     kept = F.greatest(F.least("hi", F.col("n") - cut) - F.greatest("lo", cut), F.lit(0))
