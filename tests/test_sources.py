@@ -69,6 +69,10 @@ def test_sinks(spark, tmp_path):
     assert "DIMENSIONS 3 2 1" in (tmp_path / "g.vtk").read_text() and (tmp_path / "g.dxf").read_text().count("POINT") == 5
     tif = (tmp_path / "g.tif").read_bytes()
     assert tif[:4] == b"II*\0" and struct.unpack("<6d", tif[-48:]) == (3.0, -9999.0, 5.0, 0.0, 1.0, 2.0)
+    nc = sinks.netcdf(g)
+    assert nc[:4] == b"CDF\x01" and struct.unpack(">11d", nc[-88:])[:5] == (0.0, 1.0, 2.0, 0.0, 1.0) and struct.unpack(">6d", nc[-48:])[5] == 5.0
+    begins = [struct.unpack(">i", nc[i + 8 : i + 12])[0] for i in range(len(nc) - 88 - 11) if nc[i : i + 4] == struct.pack(">i", 6) and struct.unpack(">i", nc[i + 4 : i + 8])[0] in (24, 16, 48)]
+    assert begins == [len(nc) - 88, len(nc) - 64, len(nc) - 48]
     assert sinks.surfer_binary(g)[:8] == b"DSBB" + struct.pack("<2h", 3, 2)
     sinks.write_csv(g.select("x", "value"), str(tmp_path / "csv"), decimal=",", sep=";", meta={"m": "k"})
     assert ("0,000000", "0,000000", "k") in set(map(tuple, spark.read.csv(str(tmp_path / "csv"), sep=";", header=True).collect()))
