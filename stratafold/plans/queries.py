@@ -600,6 +600,11 @@ def _(s, d):
     return outliers.isolation(vector_points(s, d))
 
 
+@register("outliers_one_class")
+def _(s, d):
+    return outliers.one_class(vector_points(s, d))
+
+
 # --- validation ------------------------------------------------------------------------------------------------------
 
 _EMS = Search(radius=0.1, max_points=12)

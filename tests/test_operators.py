@@ -193,7 +193,7 @@ def test_outliers_find_planted(spark):
     rng = np.random.default_rng(3)
     rows = [(*rng.uniform(0, 100, 2), v) for v in [*rng.normal(50, 10, 95), 100.0, 0.0, 150.0, -20.0, 200.0]]
     p = points(spark, rows)
-    for f, must in ((outliers.fences, {97, 98, 99}), (outliers.z_scores, {97, 99}), (outliers.modified_z, {97, 98, 99}), (outliers.grubbs, {99}), (outliers.mahalanobis, {97, 99}), (outliers.robust_distance, {97, 98, 99}), (outliers.isolation, {97, 99})):
+    for f, must in ((outliers.fences, {97, 98, 99}), (outliers.z_scores, {97, 99}), (outliers.modified_z, {97, 98, 99}), (outliers.grubbs, {99}), (outliers.mahalanobis, {97, 99}), (outliers.robust_distance, {97, 98, 99}), (outliers.isolation, {97, 99}), (outliers.one_class, {97, 99})):
         assert must <= {r.id for r in f(p).collect()}, f.__name__
     assert outliers.votes([outliers.fences(p), outliers.z_scores(p)]).where("id = 99").first().unanimous
 
