@@ -29,7 +29,11 @@ from stratafold.llm import kernels as K
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
-KNOWN_UNITS = 1 << 20
+#: Units and pairs of pieces that a worker remembers; beyond either it starts anew, so its memory is bounded.
+KNOWN_UNITS = 1 << 19
+KNOWN_PAIRS = 1 << 20
+#: Up to so many edges at one depth are relaxed one by one, as in the tail of a very long unit.
+FEW_EDGES = 16
 SCHEMA = "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean"
 _UNIT = re.compile(rb" *[^ \n]+| +|\n")
 _NONE, _BEGIN, _UNKNOWN = -3, -2, -1
@@ -174,6 +178,15 @@ class Encoder:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols == ([one, self.names[right]] if one else [self.names[right]])
 
+    def _fit(self, left: int, right: int) -> bool:
+        if right == _UNKNOWN:
+            return True
+        code = ((_BEGIN if left == _UNKNOWN else left) + 3) << 32 | right
+        known = self.apart.get(code)
+        if known is None:
+            known = self.apart[code] = self._stay_apart((code >> 32) - 3, right)
+        return known
+
     def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         # nothing merges with an unknown character; a piece after one has to be one piece by itself
         left = np.where(left == _UNKNOWN, _BEGIN, left)
@@ -182,7 +195,7 @@ class Encoder:
         code = (left[ask].astype(np.int64) + 3) * np.int64(1 << 32) + right[ask]
         codes, back = np.unique(code, return_inverse=True)
         apart = self.apart
-        if len(apart) > 4 * KNOWN_UNITS:
+        if len(apart) > KNOWN_PAIRS:
             apart.clear()
         got = np.zeros(len(codes), dtype=bool)
         for i, c in enumerate(codes.tolist()):
@@ -223,6 +236,12 @@ class Encoder:
         back = np.zeros(len(data) + 1, dtype=np.int64)
         last[begins] = _BEGIN
         for a, b in zip(cuts := np.r_[0, np.flatnonzero(depth[1:] != depth[:-1]) + 1].tolist() if len(depth) else [], [*cuts[1:], len(depth)]):
+            if b - a <= FEW_EDGES:
+                for s, e, p in zip(start[a:b].tolist(), end[a:b].tolist(), piece[a:b].tolist()):
+                    left = int(last[s])
+                    if left != _NONE and self._fit(left, p):
+                        last[e], back[e] = p, s
+                continue
             s, e, p = start[a:b], end[a:b], piece[a:b]
             alive = last[s] != _NONE
             s, e, p = s[alive], e[alive], p[alive]
