@@ -32,6 +32,8 @@ from stratafold.llm import kernels as K
 LEAST_PAGES = 4
 LEAST_IMPORTANCE = 0.2
 CONTENT_SHARE = 0.9
+#: Removed nodes of all hosts that are sent to every executor; with more, pages are joined with them by host.
+BROADCAST_NODES = 100_000
 HOST = r"^.*?://([^/?#]*)"
 
 # Tags and names, by how they are treated.
@@ -216,6 +218,8 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance:
     """Per page: page_id, url, text, n_chars."""
     tree = K.settled(style_tree(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance)))
     low = tree.groupBy("host").agg(F.collect_set("path").alias("low"))
+    if tree.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+        low = F.broadcast(low)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
