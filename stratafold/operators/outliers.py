@@ -84,7 +84,7 @@ def edge(points: DataFrame) -> DataFrame:
     c = F.broadcast(points.agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")))
     rows = points.crossJoin(c).withColumn("d", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")))
     far = rows.crossJoin(F.broadcast(rows.agg(F.percentile("d", 0.95).alias("q")))).where("d > q").select("id")
-    return far.union(points.join(F.broadcast(hull(points).select("x", "y")), ["x", "y"], "left_semi").select("id")).distinct().withColumn("method", F.lit("edge"))
+    return far.union(points.join(hull(points).select("x", "y"), ["x", "y"], "left_semi").select("id")).distinct().withColumn("method", F.lit("edge"))
 
 
 def _moments(points: DataFrame, axes) -> tuple[np.ndarray, np.ndarray]:
