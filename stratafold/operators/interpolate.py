@@ -69,6 +69,14 @@ def radius_join_folds(points: DataFrame, fold: str, search: Search) -> DataFrame
     return near.join(points.select(F.col("id").alias("qid"), F.col(fold).alias("_qf")), "qid").where("_nf <> _qf").drop("_nf", "_qf")
 
 
+def global_rows(points: DataFrame) -> np.ndarray:
+    """x, y, value of all points, for one dense system; more than GLOBAL_LIMIT points are refused, never cut."""
+    rows = points.select("x", "y", "value").orderBy("id").limit(GLOBAL_LIMIT + 1).toPandas().to_numpy()
+    if len(rows) > GLOBAL_LIMIT:
+        raise ValueError(f"a global system takes at most {GLOBAL_LIMIT} points; give a search")
+    return rows
+
+
 def model_values(model: Variogram, h: np.ndarray) -> np.ndarray:
     n, s, a = model.nugget, model.sill, model.range
     r = h / a
@@ -123,9 +131,7 @@ def kriging(points: DataFrame, targets: DataFrame, model: Variogram, k: Kriging
     mean = k.mean if k.mean is not None else (points.agg(F.avg("value")).first()[0] or 0.0)
     reachable(points.sparkSession)
     if search is None:
-        rows = points.select("x", "y", "value").orderBy("id").limit(GLOBAL_LIMIT + 1).toPandas().to_numpy()
-        if len(rows) > GLOBAL_LIMIT:
-            raise ValueError(f"global kriging takes at most {GLOBAL_LIMIT} points; give a search")
+        rows = global_rows(points)
         return targets.select("id", "x", "y").mapInArrow(lambda batches: (_global_batch(b, rows, model, k, mean) for b in batches), "id long, estimate double, variance double")
     found = with_fallback(targets, points, search.max_points, search.radius, search.min_points, keep=("x", "y", "value"))
     near = found.groupBy(F.col("qid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y", "value"))).alias("near"))
@@ -201,9 +207,7 @@ def rbf(points: DataFrame, targets: DataFrame, p: Rbf = Rbf(), search: Search |
     reachable(points.sparkSession)
     mean = points.agg(F.avg("value")).first()[0] or 0.0
     if search is None:
-        rows = points.select("x", "y", "value").orderBy("id").limit(GLOBAL_LIMIT + 1).toPandas().to_numpy()
-        if len(rows) > GLOBAL_LIMIT:
-            raise ValueError(f"global radial bases take at most {GLOBAL_LIMIT} points; give a search")
+        rows = global_rows(points)
         w = _rbf_solve(rows[:, :2], rows[:, 2], p)
         n = len(rows)
 
@@ -229,7 +233,7 @@ def rbf(points: DataFrame, targets: DataFrame, p: Rbf = Rbf(), search: Search |
 
 def rbf_shape(points: DataFrame, kernel: str = "multiquadric", regularization: float = 1e-12, candidates: int = 20) -> DataFrame:
     """(epsilon, rmse) of leave-one-out errors over a logarithmic row of shape parameters, by the closed form e_i = w_i / inverse_ii."""
-    rows = points.select("x", "y", "value").orderBy("id").limit(GLOBAL_LIMIT).toPandas().to_numpy()
+    rows = global_rows(points)
     r = np.linalg.norm(rows[:, None, :2] - rows[None, :, :2], axis=2)
     out = []
     for e in np.logspace(-2, 2, candidates):

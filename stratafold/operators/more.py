@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.operators.interpolate import GLOBAL_LIMIT, kernel_values
+from stratafold.operators.interpolate import GLOBAL_LIMIT, global_rows, kernel_values
 from stratafold.operators.neighbours import nearest_join, radius_join
 from stratafold.operators.spatial import bounds, trend
 from stratafold.operators.validation import uniform
@@ -78,7 +78,7 @@ def best_power(df: DataFrame, value: str, kind: str = "yeo_johnson", steps: int
 
 def rbf_search(points: DataFrame, kernels=("gaussian", "multiquadric", "inverse_multiquadric", "thin_plate"), candidates: int = 6, regularizations=(1e-10, 1e-6, 1e-2)) -> DataFrame:
     """(kernel, epsilon, regularization, rmse) of leave-one-out errors, a row for each combination, each combination a task of its own."""
-    rows = points.select("x", "y", "value").orderBy("id").limit(GLOBAL_LIMIT).toPandas().to_numpy()
+    rows = global_rows(points)
     spark = points.sparkSession
     reachable(spark)
     grid = [(k, float(e), float(r)) for k in kernels for e in (np.logspace(-1, 2, candidates) if k != "thin_plate" else [1.0]) for r in regularizations]

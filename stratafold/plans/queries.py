@@ -110,9 +110,9 @@ def _(s, d):
     return neighbours.sector_join(p, p, 0.1, 4, 3, keep=())
 
 
-@register("interval_overlaps", with_("iv") + f', a AS (SELECT * FROM iv WHERE hole % 7 = 1) SELECT a.hole, count(*) AS n, {R("""sum(least(a."to", b."to") - greatest(a."from", b."from"))""", "overlap")} FROM a JOIN a b ON a.hole = b.hole AND a."from" < b."to" AND a."to" > b."from" GROUP BY a.hole')
+@register("interval_overlaps", with_("iv") + f', a AS (SELECT * FROM iv) SELECT a.hole, count(*) AS n, {R("""sum(least(a."to", b."to") - greatest(a."from", b."from"))""", "overlap")} FROM a JOIN a b ON a.hole = b.hole AND a."from" < b."to" AND a."to" > b."from" GROUP BY a.hole')
 def _(s, d):
-    i = intervals(s, d).where("hole % 7 = 1")
+    i = intervals(s, d)
     return neighbours.interval_join(i, i, "hole").groupBy("a.hole").agg(F.count("*").alias("n"), F.sum("overlap").alias("overlap"))
 
 

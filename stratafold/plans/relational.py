@@ -84,7 +84,7 @@ def _(s, d):
 
 @register("rbf_search")
 def _(s, d):
-    return more.rbf_search(vector_points(s, d).limit(200), candidates=3)
+    return more.rbf_search(vector_points(s, d), candidates=3)
 
 
 @register("shapiro")
