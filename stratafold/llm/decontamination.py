@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are folded (A-Z lower-cased, everything else below 128 that
-is no letter or digit is one space). An item of m folded bytes may differ in up
+Texts and test items are folded (letters of all scripts without case, everything
+else below 128 that is no letter or digit is one space). An item of m folded bytes may differ in up
 to ``m * rate`` edits; it is split into one piece more, so that any occurrence
 within the budget holds a piece unchanged. An Aho-Corasick automaton finds all
 pieces, hits are merged by diagonal, and Myers' bit-parallel algorithm gives the
@@ -33,6 +33,8 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if K.ALNUM_WORD[c] else 32 for c in
 
 
 def fold(text: bytes) -> bytes:
+    if not text.isascii():
+        text = text.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape")
     return b" ".join(text.translate(_FOLD).split())
 
 

@@ -212,6 +212,16 @@ def test_decontamination_awkward(spark, docs, empty, sf):
     assert decontamination.clean(docs, bench).count() == docs.count()
 
 
+def test_decontamination_folds_accented_letters(spark):
+    item = "où était l'élève âgé à l'été dernier, près du château fortifié déjà évoqué"
+    texts = spark.createDataFrame([(1, f"avant {item.upper()} après"), (2, f"avant {item} après"), (3, "une autre phrase sans rapport avec la question posée")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, item.upper())], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontamination.leaks(texts, items).collect()} == {(1, 7, 0), (1, 8, 0), (2, 7, 0), (2, 8, 0)}
+    assert [r.doc_id for r in decontamination.clean(texts, items).collect()] == [3]
+    assert decontamination.fold("Straße ΣΊΣΥΦΟΣ ДОМ".encode()) == decontamination.fold("STRASSE σίσυφος дом".encode())
+    assert decontamination.fold(b"A\xffB") == b"a\xffb"
+
+
 def bags(t):
     w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else collections.Counter([tuple(w)] if w else [])
