@@ -9,11 +9,18 @@ class names them as menu, header, footer, sidebar, notice, advert, form or reade
 comments. Where a page has an article or main element only that is kept, and
 inside it only wrappers with a class or id can be removed for low importance.
 
+A class or id is a name of boilerplate as a whole token only: such words alone or
+joined, with words of place or of wrapping around them (``site-footer``, not
+``entry-header``). Inside an article it must be unambiguous, as must be the class
+of a heading and the id of a section; ids of headings and of sections inside an
+article are anchors and name nothing, nor do classes of html, body and main.
+
 The tree is aggregated by (host, node, layout, text), so a host with a third of
 all pages is spread out; per host only the list of removed nodes comes back.
 Null html counts as empty and gives an empty text; pages without a host are one
 site; copies of a page count once in the tree; repeated rows give a row each;
-unclosed, crossing and unknown tags are tolerated; empty tables give no rows.
+unclosed, crossing and unknown tags are tolerated; an svg or template that closes
+itself or has no end tag ends where it begins; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ BROADCAST_NODES = 100_000
 HOST = r"^.*?://([^/?#]*)"
 
 # Tags and names, by how they are treated.
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -51,14 +58,50 @@ DROPPED_NAMES = {
     "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "replies", "share", "sidebar", "signup", "social", "sponsor", "sponsored",
     "subscribe", "toolbar", "widget",
 }
+#: Names that mean boilerplate inside an article too, as do two names joined.
+CLEAR_NAMES = {
+    "ad", "ads", "advert", "adverts", "advertisement", "breadcrumb", "breadcrumbs", "comments", "disqus", "masthead", "navbar", "navigation", "newsletter", "popup", "sidebar", "signup", "sponsored", "subscribe", "toolbar",
+}
+PLACES = ("site", "main", "global", "top", "bottom", "left", "right", "primary", "secondary")
+WRAPPERS = ("area", "bar", "box", "button", "buttons", "container", "icons", "inner", "item", "items", "links", "list", "outer", "overlay", "posts", "section", "slot", "unit", "wrap", "wrapper", "[0-9]+", *PLACES)
+UNNAMED = {"html", "body", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 CLOSES_P = BLOCK - {"body", "button", "caption", "dd", "dt", "html", "head", "legend", "li", "option", "optgroup", "select", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: What a start tag closes, and where the search for it ends.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 P_SCOPE = {"td", "th", "caption", "button", "table", "html"}
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[!?][^>]*>)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
-_NAME = re.compile(r"[a-z0-9]+")
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_ANY = "|".join(sorted(DROPPED_NAMES))
+_NAMED = re.compile(rf"(?:(?:{'|'.join(PLACES)})[-_]+)*(?:{_ANY})(?:[-_]+(?:{_ANY}|{'|'.join(WRAPPERS)}))*")
+_PART = re.compile(r"[-_]+")
+#: Start and end tags of svg and template, outside comments and raw text.
+_ISLAND = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|xmp)(?=[\s/>]).*?(?:</\1\s*>|\Z)|<(/?)(svg|template)(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S | re.I)
+
+
+def boilerplate(name: str, clear: bool) -> bool:
+    """Does a whole class or id name boilerplate; with ``clear``, without doubt."""
+    if not _NAMED.fullmatch(name):
+        return False
+    parts = _PART.split(name)
+    return not clear or any(w in CLEAR_NAMES for w in parts) or sum(w in DROPPED_NAMES for w in parts) > 1
+
+
+def islands(source: str) -> dict[int, int]:
+    """Where each svg and template ends, by the end of its start tag; those that close themselves or never close are missing."""
+    open_: dict[str, list[int]] = {"svg": [], "template": []}
+    out = {}
+    for found in _ISLAND.finditer(source):
+        if not found[3]:
+            continue
+        stack = open_[found[3].lower()]
+        if found[2]:
+            if stack:
+                out[stack.pop()] = found.end()
+        elif not found[4].endswith("/"):
+            stack.append(found.end())
+    return out
 
 
 def digest(*parts: str) -> int:
@@ -76,6 +119,7 @@ class Page:
         open_ = [0]
         at, end = 0, len(source)
         raw: re.Pattern | None = None
+        closed: dict[int, int] | None = None
         while at < end:
             found = _TAG.search(source, at)
             stop = found.start() if found else end
@@ -91,6 +135,10 @@ class Page:
                 self._close(open_, {tag}, set())
                 if tag in BLOCK:
                     self.stream.append((open_[-1], None))
+            elif tag in ("svg", "template"):
+                if closed is None:
+                    closed = islands(source)
+                at = closed.get(at, at)
             elif tag in RAW:
                 raw = re.compile(rf"</{re.escape(tag)}\s*>", re.I)
                 closing = raw.search(source, at)
@@ -109,17 +157,25 @@ class Page:
                 return
 
     def _open(self, open_: list[int], tag: str, attributes: str) -> None:
-        names, role, hidden = [], "", False
+        classes, ids, role, hidden = [], [], "", False
         if attributes.strip():
             for key, value in _ATTRIBUTE.findall(attributes):
-                key, value = key.lower(), value.strip("\"'").lower()
+                key = key.lower()
                 if key == "hidden":
                     hidden = True
                 elif key == "role":
-                    role = value
-                else:
-                    names += value.split()
-        drops = role in DROPPED_ROLES or hidden or any(w in DROPPED_NAMES for n in names for w in _NAME.findall(n))
+                    role = value.strip("\"'").lower()
+                elif key == "class":
+                    classes += value.strip("\"'").lower().split()
+                elif key == "id":
+                    ids += value.strip("\"'").lower().split()
+        names = classes + ids
+        drops = role in DROPPED_ROLES or hidden
+        if names and not drops and tag not in UNNAMED:
+            article = any(self.tag[i] == "article" for i in open_)
+            drops = any(boilerplate(n, article or tag in HEADINGS) for n in classes)
+            if not drops and tag not in HEADINGS and not (article and tag == "section"):
+                drops = any(boilerplate(n, article or tag == "section") for n in ids)
         if tag not in BLOCK and not drops:
             return
         if tag in CLOSES_P:

@@ -55,6 +55,23 @@ def test_main_text_rules():
     assert main_text.Page("<p>a<p>b</div></x><div>c").main(set()) == "a\nb\nc"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><section id="related-work"><p>a</p></section><h2 id="social-history">b</h2><p>c</p></article>', "a\nb\nc"),
+        ('<article><section id="comments"><p>a</p></section><h2 id="comments">b</h2><p class="notice">c</p><div class="comments">no</div><div class="social-share">no</div></article>', "a\nb\nc"),
+        ('<div><h1 class="entry-header">a</h1><p class="form-of-life">b</p><div id="social-history">c</div></div>', "a\nb\nc"),
+        ('<body class="sidebar"><div aria-hidden="false">a</div><p title="the hidden valley">b</p><p data-id="comment-3" data-class=\'ad\'>c</p></body>', "a\nb\nc"),
+        ('<p hidden>no</p><p HIDDEN="">no</p><div class="site-footer">no</div><div id=comment-3>no</div><div class="related-posts x">no</div><p>a</p>', "a"),
+        ('<p>a<svg viewBox="0 0 1 1"/> b</p><p>c</p><svg><path/></svg><p>d</p>', "a b\nc\nd"),
+        ('<p>a</p><svg width=1><p>b</p><svg><text>no</text><svg>no</svg>no</svg><p>c</p>', "a\nb\nc"),
+        ('<p>a</p><template id="t"><p>b</p><script>"</template>"</script><!-- </template> --><p>c</p>', "a\nb\nc"),
+    ],
+)
+def test_main_text_keeps_what_is_not_named(page, text):
+    assert main_text.Page(page).main(set()) == text
+
+
 def test_style_tree_removes_what_repeats(spark):
     def page(i):
         return f"<html><body><div class='top'>Our site, always here</div><div class='story'><p>story {i} of many</p></div><div class='end'>Call us</div></body></html>"
