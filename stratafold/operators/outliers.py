@@ -37,20 +37,85 @@ def modified_z(points: DataFrame, limit: float = 3.5) -> DataFrame:
     return _flag(rows.crossJoin(mad), (F.col("mad") > 0) & (0.6745 * F.abs(F.col("value") - F.col("med")) > limit * F.col("mad")), f"modified_z_{limit:g}")
 
 
-def grubbs(points: DataFrame, alpha: float = 0.05, most: int = 20) -> DataFrame:
-    """The farthest value again and again while Grubbs' test rejects it, at most ``most`` times."""
-    spark, left, found = points.sparkSession, points, []
-    for _ in range(most):
-        s = left.agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).first()
-        if s.n < 3 or not s.s:
-            break
-        far = left.orderBy(F.desc(F.abs(F.col("value") - s.m)), "id").limit(1).first()
-        t = t_critical(spark, 1 - alpha / (2 * s.n), s.n - 2)
-        if abs(far.value - s.m) / s.s <= (s.n - 1) / s.n**0.5 * (t * t / (s.n - 2 + t * t)) ** 0.5:
-            break
-        found.append((far.id, "grubbs"))
-        left = left.where(F.col("id") != far.id)
-    return spark.createDataFrame(found, "id long, method string")
+def grubbs(points: DataFrame, alpha: float = 0.05, block: int = 1000) -> DataFrame:
+    """The farthest value again and again until Grubbs' test no longer rejects it; of equal ones that of the smallest id.
+
+    What is rejected is at an end of the sorted values, so only the ends come to the driver, ``block`` values of each;
+    if one is used up, four times as many are taken. Moments are merged from the middle outwards, so that far values
+    do not swallow the digits of the others.
+    """
+    spark = points.sparkSession
+    rows = points.select("id", F.col("value").cast("double").alias("value")).where("value is not null")
+    n = rows.count()
+    while True:
+        if n <= 2 * block:
+            (low, high), middle = _halves([(r.value, r.id) for r in rows.collect()]), (0, 0.0, 0.0)
+        else:
+            low = [(r.value, r.id) for r in rows.orderBy("value", "id").limit(block).collect()]
+            high = [(r.value, r.id) for r in rows.orderBy(F.desc("value"), "id").limit(block).collect()]
+            (lv, li), (hv, hi) = low[-1], high[-1]
+            v, i = F.col("value"), F.col("id")
+            inner = rows.where(((v > lv) | (v == lv) & (i > li)) & ((v < hv) | (v == hv) & (i > hi)))
+            s = inner.agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")).first()
+            middle = (s.n, s.m or 0.0, (s.v or 0.0) * s.n)
+            if len(low) + len(high) + s.n != n:  # both ends are of one value
+                block *= 4
+                continue
+        found, at_end = [], False
+        while True:
+            more, a, b, at_end = _peel(spark, low, high, middle, alpha)
+            found += more
+            if not at_end or middle[0]:
+                break
+            low, high = _halves(low[a:] + high[b:])
+        if not at_end:
+            return spark.createDataFrame([(i, "grubbs") for i in found], "id long, method string")
+        block *= 4
+
+
+def _halves(rows: list[tuple[float, int]]) -> tuple[list, list]:
+    """The lower and the upper half, each from its end inwards."""
+    rows = sorted(rows)
+    return rows[: len(rows) // 2], sorted(rows[len(rows) // 2 :], key=lambda r: (-r[0], r[1]))
+
+
+def _merged(a: tuple[int, float, float], b: tuple[int, float, float]) -> tuple[int, float, float]:
+    """Count, mean and squared deviations of two groups together."""
+    n = a[0] + b[0]
+    if not n:
+        return 0, 0.0, 0.0
+    gap = b[1] - a[1]
+    return n, a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n
+
+
+def _peel(spark, low: list, high: list, middle: tuple[int, float, float], alpha: float) -> tuple[list[int], int, int, bool]:
+    """Rejected ids, how many of each end they are, and whether an end was used up before the test stopped."""
+
+    def inwards(rows: list) -> list[tuple[int, float, float]]:
+        out = [(0, 0.0, 0.0)]
+        for v, _ in reversed(rows):
+            out.append(_merged(out[-1], (1, v, 0.0)))
+        return out[::-1]
+
+    lows, highs = inwards(low), inwards(high)
+    found, a, b = [], 0, 0
+    while True:
+        n, m, squares = _merged(_merged(middle, lows[a]), highs[b])
+        if n < 3 or squares <= 0:
+            return found, a, b, False
+        if a == len(low) or b == len(high):
+            return found, a, b, True
+        s = (squares / (n - 1)) ** 0.5
+        one, two = (m - low[a][0], -low[a][1]), (high[b][0] - m, -high[b][1])
+        t = t_critical(spark, 1 - alpha / (2 * n), n - 2)
+        if max(one, two)[0] / s <= (n - 1) / n**0.5 * (t * t / (n - 2 + t * t)) ** 0.5:
+            return found, a, b, False
+        if one > two:
+            found.append(low[a][1])
+            a += 1
+        else:
+            found.append(high[b][1])
+            b += 1
 
 
 def distance(points: DataFrame, contamination: float = 0.1, k: int = 10) -> DataFrame:

@@ -198,6 +198,22 @@ def test_outliers_find_planted(spark):
     assert outliers.votes([outliers.fences(p), outliers.z_scores(p)]).where("id = 99").first().unanimous
 
 
+@pytest.mark.parametrize("block", [3, 40, 1000])
+def test_grubbs_goes_on(spark, block):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(0, 1, 300), 10.0 ** np.linspace(2, 9, 30), -(10.0 ** np.linspace(2, 9, 15))])
+    want, left = set(), list(range(len(v)))
+    while True:
+        x = v[left]
+        n, z = len(x), np.abs(x - x.mean()) / x.std(ddof=1)
+        t = statistics.t_critical(spark, 1 - 0.05 / (2 * n), n - 2)
+        if z.max() <= (n - 1) / n**0.5 * (t * t / (n - 2 + t * t)) ** 0.5:
+            break
+        want.add(left.pop(int(z.argmax())))
+    assert len(want) > 20
+    assert {r.id for r in outliers.grubbs(points(spark, [(i, 0, x) for i, x in enumerate(v.tolist())]), **({"block": block} if block != 1000 else {})).collect()} == want
+
+
 def test_dbscan_and_hull(spark):
     rng = np.random.default_rng(5)
     p = points(spark, [(x, y, 0) for x, y in np.concatenate([rng.normal(0, 0.1, (30, 2)), rng.normal(5, 0.1, (30, 2)), [[50.0, 50.0]]])])
