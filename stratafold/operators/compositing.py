@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratafold.operators.neighbours import nearest_join
-from stratafold.session import reachable
+from stratafold.operators.neighbours import nearest_join, ranked
+from stratafold.session import reachable, settled
 
 
 def composite_intervals(df: DataFrame, hole: str, start: str, end: str, values: Sequence[str], length: float, weighted: bool = True, min_recovery: float = 0.5) -> DataFrame:
@@ -89,35 +89,80 @@ def decluster_distance(points: DataFrame, k: int = 5, power: float = 2.0) -> Dat
     return _normalised(points.join(mean, "id").withColumn("w", 1 / (density + 1e-10)).drop("_d"))
 
 
-def decluster_polygons(points: DataFrame, limit: int = 5000) -> DataFrame:
-    """Points weighted by the area of their Voronoi cell; open cells take the median closed area.
+#: Cells that are left after a round and whose cutting points are then looked for among all places; with more, further neighbours are fetched.
+SCANNED_CELLS = 1000
 
-    Cells are cut from a box by the bisectors of the points around, the nearest first, until further ones cannot
-    reach; each point needs only its neighbours, found by the k nearest join.
+
+def decluster_polygons(points: DataFrame) -> DataFrame:
+    """Points weighted by the area of their Voronoi cell; open cells take the median closed area, copies of a place the area of its cell.
+
+    Cells are cut by the bisectors of the places around, the nearest first. A cell is final when its farthest corner is
+    at most half as far as the neighbours fetched reach. For the others further neighbours are fetched in rounds; when
+    few are left, all places that are nearer to one of their corners are found by a scan, until none is.
     """
-    n = points.limit(3).count()
+    points = points.where("x is not null and y is not null")
+    places = settled(points.groupBy("x", "y").agg(F.min("id").cast("long").alias("id")))
+    n = places.count()
     if n < 3:
         return points.withColumn("weight", F.lit(1.0))
     b = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    pad = 2 * max(b[1] - b[0], b[3] - b[2], 1e-9)
-    box = (b[0] - pad, b[1] + pad, b[2] - pad, b[3] + pad)
-    near = nearest_join(points, points, 48, other=True, keep=("x", "y"))
-    rows = near.groupBy(F.col("qid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y"))).alias("n")).join(points.select("id", F.col("x").alias("px"), F.col("y").alias("py")), "id")
-    rows = rows.select("id", "px", "py", F.col("n.x").alias("nx"), F.col("n.y").alias("ny"))
     reachable(points.sparkSession)
+    span = max(b[1] - b[0], b[3] - b[2], 1e-9)
+    boxes = [(b[0] - pad, b[1] + pad, b[2] - pad, b[3] + pad) for pad in (2 * span, 1e6 * span)]
 
-    def areas(batches):
+    def cells(batches):
         for batch in batches:
-            out = [_cell_area(x, y, nx, ny, box) for x, y, nx, ny in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["id", "area"])
-
-    cells = rows.mapInArrow(areas, "id long, area double")
-    middle = F.broadcast(cells.agg(F.percentile("area", 0.5).alias("m")))
-    return _normalised(points.join(cells, "id").crossJoin(middle).withColumn("w", F.coalesce("area", "m", F.lit(1.0))).drop("area", "m"))
-
-
-def _cell_area(x: float, y: float, nx: list[float], ny: list[float], box) -> float | None:
-    """Area of the cell of (x, y), None if it reaches the box."""
+            rows = []
+            for i, x, y, nx, ny, reach, before in zip(*(c.to_pylist() for c in batch.columns)):
+                for box in boxes:
+                    poly = _cell(x, y, nx, ny, box)
+                    if not _open(poly, box):
+                        break
+                far = max((np.hypot(px - x, py - y) for px, py in poly), default=0.0)
+                area = None if _open(poly, box) else _area(poly)
+                same = before is not None and len(before) == len(poly) and np.allclose(before, [px for px, _ in poly], rtol=0, atol=1e-12 * far)
+                rows.append((i, x, y, nx, ny, reach, [px for px, _ in poly], [py for _, py in poly], float(far), area, same or 2 * far <= reach or len(nx) >= n - 1))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema([(c, t) for c, t in zip(names, types)]))
+
+    many = pa.list_(pa.float64())
+    names = ("id", "px", "py", "nx", "ny", "reach", "vx", "vy", "far", "area", "done")
+    types = (pa.int64(), pa.float64(), pa.float64(), many, many, pa.float64(), many, many, pa.float64(), pa.float64(), pa.bool_())
+    schema = "id long, px double, py double, nx array<double>, ny array<double>, reach double, vx array<double>, vy array<double>, far double, area double, done boolean"
+    own = lambda rows: rows.select("id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py"))
+    left, k, out = places, 48, None
+    while True:
+        near = nearest_join(left, places, k, other=True, keep=("x", "y"))
+        lists = near.groupBy(F.col("qid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("n"), F.max("dist").alias("reach"))
+        rows = lists.join(own(left), "id").select("id", "px", "py", F.col("n.x").alias("nx"), F.col("n.y").alias("ny"), "reach", F.lit(None).cast("array<double>").alias("before"))
+        found = settled(rows.mapInArrow(cells, schema))
+        done = found.where("done").select("id", "area")
+        out = done if out is None else out.unionByName(done)
+        open_ = found.where("not done")
+        if open_.count() <= SCANNED_CELLS:
+            break
+        left, k = places.join(open_.select("id"), "id", "left_semi"), 4 * k
+    while not open_.isEmpty():
+        q = F.broadcast(open_.select("id", "px", "py", "reach", "far", F.arrays_zip("vx", "vy").alias("corners")))
+        gap = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
+        square = lambda c, x, y: (c["vx"] - F.col(x)) * (c["vx"] - F.col(x)) + (c["vy"] - F.col(y)) * (c["vy"] - F.col(y))
+        nearer = F.exists("corners", lambda c: square(c, "x", "y") < square(c, "px", "py") * (1 - 1e-12))
+        cut = places.select(F.col("id").alias("nid"), "x", "y").crossJoin(q).where((gap > F.col("reach")) & (gap < 2 * F.col("far")) & nearer)
+        cut = ranked(cut.select(F.col("id").alias("qid"), "nid", "x", "y", gap.alias("dist")), 48)
+        more = cut.groupBy(F.col("qid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("n"))
+        rows = open_.join(more, "id", "left")
+        out = out.unionByName(rows.where("n is null").select("id", "area"))
+        rows = rows.where("n is not null").select("id", "px", "py", F.concat("nx", "n.x").alias("nx"), F.concat("ny", "n.y").alias("ny"), "reach", F.col("vx").alias("before"))
+        found = settled(rows.mapInArrow(cells, schema))
+        out = out.unionByName(found.where("done").select("id", "area"))
+        open_ = found.where("not done")
+    areas = out.join(places, "id").select("x", "y", "area")
+    rows = settled(points.join(areas, ["x", "y"]))
+    middle = F.broadcast(rows.agg(F.percentile("area", 0.5).alias("m")))
+    return _normalised(rows.crossJoin(middle).withColumn("w", F.coalesce("area", "m", F.lit(1.0))).select(*points.columns, "w"))
+
+
+def _cell(x: float, y: float, nx: list[float], ny: list[float], box) -> list[tuple[float, float]]:
+    """Corners of the cell of (x, y) within the box."""
     poly = [(box[0], box[2]), (box[1], box[2]), (box[1], box[3]), (box[0], box[3])]
     for a, c in zip(nx, ny):
         mx, my, dx, dy = (x + a) / 2, (y + c) / 2, a - x, c - y
@@ -133,14 +178,26 @@ def _cell_area(x: float, y: float, nx: list[float], ny: list[float], box) -> flo
             if s <= 0:
                 new.append(p)
         poly = new
-        if not poly:
-            return 0.0
-    if any(px <= box[0] or px >= box[1] or py <= box[2] or py >= box[3] for px, py in poly):
-        return None
-    p = np.array(poly)
+    return poly
+
+
+def _open(poly: list[tuple[float, float]], box) -> bool:
+    return any(px <= box[0] or px >= box[1] or py <= box[2] or py >= box[3] for px, py in poly)
+
+
+def _area(poly: list[tuple[float, float]]) -> float:
+    if not poly:
+        return 0.0
+    p = np.array(poly) - np.array(poly[0])
     return float(abs(np.dot(p[:, 0], np.roll(p[:, 1], -1)) - np.dot(p[:, 1], np.roll(p[:, 0], -1))) / 2)
 
 
+def _cell_area(x: float, y: float, nx: list[float], ny: list[float], box) -> float | None:
+    """Area of the cell of (x, y), None if it reaches the box."""
+    poly = _cell(x, y, nx, ny, box)
+    return None if _open(poly, box) else _area(poly)
+
+
 def weight_metrics(points: DataFrame) -> DataFrame:
     """Spread of weights, effective number of points, and weighted against plain mean and deviation (population)."""
     m = F.broadcast(points.agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("wm")))

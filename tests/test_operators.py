@@ -161,6 +161,18 @@ def test_declustering(spark):
     assert {round(r.weight, 6) for r in compositing.decluster_polygons(lattice).collect()} == {1.0}
 
 
+def test_polygon_areas_are_exact(spark):
+    rng = np.random.default_rng(4)
+    xy = np.concatenate([rng.normal(50, 0.01, (150, 2)), rng.uniform(0, 100, (60, 2)), np.full((60, 2), 48.0), [[0, 0], [0, 100], [100, 0], [100, 100]]])
+    got = {r.id: r.weight for r in compositing.decluster_polygons(points(spark, [(x, y, 0) for x, y in xy])).collect()}
+    box = (-1e8, 1e8, -1e8, 1e8)
+    near = [xy[np.argsort(np.hypot(*(xy - p).T))] for p in xy]
+    areas = [compositing._cell_area(x, y, n[:, 0].tolist(), n[:, 1].tolist(), box) for (x, y), n in zip(xy.tolist(), near)]
+    middle = np.median([a for a in areas if a is not None])
+    want = np.array([middle if a is None else a for a in areas])
+    assert [got[i] for i in range(len(xy))] == pytest.approx(want / want.mean(), rel=1e-5)
+
+
 def test_ranks(spark):
     v = [3.0, 1.0, 2.0, 2.0, None, 7.0, 2.0]
     df = spark.createDataFrame(list(enumerate(v)), "id long, v double")
