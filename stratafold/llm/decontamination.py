@@ -11,12 +11,15 @@ The items go to the workers inside the function, in blocks of at most
 ``block_bytes`` of folded text each; a larger benchmark takes more passes over the
 documents. Null or empty items match nothing; null texts count as empty;
 repeated rows are reported each; empty tables give no rows. Items whose budget
-is 0 must occur verbatim. Items of fewer than ``least_words`` words say nothing
-about a leak and are skipped.
+is 0 must occur verbatim; those of fewer than ``LEAST_WORDS`` words besides
+between borders of words, which in scripts without spaces are all places between
+characters.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -63,6 +66,20 @@ def myers(pattern: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+#: Thai, Lao, Myanmar, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def border(text: bytes, at: int) -> bool:
+    """Is the place in a folded text, before a character, no place within a word."""
+
+    def within(c: str) -> bool:
+        return bool(c) and (c.isalnum() or unicodedata.category(c)[0] == "M") and not _UNSPACED.match(c)
+
+    before, after = text[max(at - 4, 0) : at].decode("utf-8", "ignore")[-1:], text[at : at + 4].decode("utf-8", "ignore")[:1]
+    return not (within(before) and within(after))
+
+
 class Items:
     """The folded items of one block and the automaton of their pieces."""
 
@@ -97,6 +114,11 @@ class Items:
         for n, found in diagonals.items():
             item, pattern, budget = self.items[n]
             best = (budget + 1, 0)
+            if not budget and pattern.count(b" ") + 1 < LEAST_WORDS:
+                whole = (d for d in sorted(found) if border(text, d) and border(text, d + len(pattern)))
+                if (d := next(whole, None)) is not None:
+                    out.append((item, 0, d + len(pattern)))
+                continue
             spans: list[list[int]] = []
             for d in sorted(found):
                 if spans and d - budget <= spans[-1][1]:
@@ -117,7 +139,7 @@ def _blocks(benchmark: DataFrame, rate: float, block_bytes: int) -> list[Items]:
     size = 0
     for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
         text = fold(row.text.encode())
-        if text.count(b" ") + 1 < LEAST_WORDS:
+        if not text:
             continue
         if size + len(text) > block_bytes and out[-1]:
             out.append([])

@@ -222,6 +222,15 @@ def test_decontamination_folds_accented_letters(spark):
     assert decontamination.fold(b"A\xffB") == b"a\xffb"
 
 
+def test_decontamination_searches_short_items(spark):
+    items = spark.createDataFrame([(1, "光合作用将二氧化碳和水转化为葡萄糖并释放出氧气供生物呼吸"), (2, "Quel âge ?"), (3, "cat"), (4, "猫"), (5, "the capital of France"), (6, " ?! "), (7, "")], "item_id long, text string")
+    texts = ["据说光合作用将二氧化碳和水转化为葡萄糖并放出氧气供生物呼吸。", "mais QUEL ÂGE, dit-il", "concatenate", "a Cat.", "小猫在睡", "is the capitol of France", "«cat» été", "écat caté", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontamination.leaks(docs, items).collect()}
+    assert got == {(0, 1): 3, (1, 2): 0, (3, 3): 0, (4, 4): 0, (5, 5): 1, (6, 3): 0}
+    assert sorted(r.doc_id for r in decontamination.clean(docs, items).collect()) == [2, 7, 8, 9]
+
+
 def bags(t):
     w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else collections.Counter([tuple(w)] if w else [])
