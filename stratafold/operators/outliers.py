@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -236,39 +238,50 @@ def isolation(points: DataFrame, contamination: float = 0.1, axes=("x", "y", "va
     return _flag(s.crossJoin(F.broadcast(s.agg(F.percentile("s", 1 - contamination).alias("q")))), F.col("s") > F.col("q"), "isolation")
 
 
-def one_class(points: DataFrame, contamination: float = 0.1, axes=("x", "y", "value"), sample: int = 1000, seed: int = 42) -> DataFrame:
+def one_class(points: DataFrame, contamination: float = 0.1, axes=("x", "y", "value"), most: int = 100_000) -> DataFrame:
     """One-class support vectors with a Gaussian kernel on standardised axes.
 
-    The dual is solved by pairwise steps on a bounded sample, a parameter of the method; every point is scored in Arrow batches.
+    The dual is solved over all points by pairwise steps on the driver, kernel rows made as needed; more than ``most``
+    points are refused. Every point is scored in Arrow batches.
     """
     axes = list(axes)
+    n = points.count()
+    if n > most:
+        raise ValueError(f"one-class support vectors are fitted on all points; {n} are more than {most}")
     s = points.agg(*(f(c).alias(f"{c}_{f.__name__}") for c in axes for f in (F.avg, F.stddev_pop))).first()
     mean = np.array([s[f"{c}_avg"] for c in axes], dtype=float)
     scale = np.array([s[f"{c}_stddev_pop"] or 1.0 for c in axes], dtype=float)
-    x = (points.select(*axes).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).toPandas().to_numpy(dtype=float) - mean) / scale
-    n = len(x)
+    x = (points.select(*axes).orderBy(F.xxhash64("id"), "id").toPandas().to_numpy(dtype=float) - mean) / scale
     gamma = 1 / (len(axes) * (x.var() or 1.0))
-    kernel = lambda a: np.exp(-gamma * ((a[:, None] - x[None]) ** 2).sum(2))
-    k = kernel(x)
-    top = 1 / (contamination * n)
-    alpha = np.full(n, 1 / n)
-    slope = k @ alpha
-    for _ in range(20 * n):
+    kernel = lambda a, b: np.exp(-gamma * ((a[:, None] - b[None]) ** 2).sum(2))
+    row = lru_cache(max(2, (256 << 20) // (8 * max(n, 1))))(lambda i: kernel(x[i : i + 1], x)[0])
+    top = 1 / (contamination * n) if n else 1.0
+    alpha = np.clip(1 - top * np.arange(n), 0, top)
+    slope = np.zeros(n)
+    for i in np.flatnonzero(alpha):
+        slope += alpha[i] * row(int(i))
+    for _ in range(1000 * n):
         up, down = np.where(alpha < top - 1e-12, slope, np.inf), np.where(alpha > 1e-12, slope, -np.inf)
         i, j = int(up.argmin()), int(down.argmax())
         if down[j] - up[i] < 1e-5:
             break
-        step = min((slope[j] - slope[i]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), top - alpha[i], alpha[j])
+        one, two = row(i), row(j)
+        step = min((slope[j] - slope[i]) / max(2 - 2 * one[j], 1e-12), top - alpha[i], alpha[j])
         alpha[i] += step
         alpha[j] -= step
-        slope += step * (k[:, i] - k[:, j])
+        slope += step * (one - two)
+    else:
+        if n:
+            raise RuntimeError("the dual of the one-class support vectors did not converge")
     free = (alpha > 1e-9) & (alpha < top - 1e-9)
-    rho = float(slope[free].mean() if free.any() else slope[alpha > 1e-9].mean())
+    held = alpha > 1e-9
+    rho = float(slope[free].mean() if free.any() else slope[held].mean() if n else 0.0)
+    x, alpha = x[alpha > 0], alpha[alpha > 0]
 
     def scored(batches):
         for b in batches:
             at = (np.column_stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(axes))]) - mean) / scale
-            score = np.concatenate([kernel(at[i : i + 1000]) @ alpha for i in range(0, len(at), 1000)]) if len(at) else np.zeros(0)
+            score = np.concatenate([kernel(at[i : i + 1000], x) @ alpha for i in range(0, len(at), 1000)]) if len(at) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["id", "s"])
 
     reachable(points.sparkSession)

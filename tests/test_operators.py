@@ -226,6 +226,29 @@ def test_grubbs_goes_on(spark, block):
     assert {r.id for r in outliers.grubbs(points(spark, [(i, 0, x) for i, x in enumerate(v.tolist())]), **({"block": block} if block != 1000 else {})).collect()} == want
 
 
+def test_one_class_fits_all_points(spark):
+    rng = np.random.default_rng(8)
+    rows = rng.normal(0, 1, (1400, 3))
+    x = (rows - rows.mean(0)) / rows.std(0)
+    k = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (3 * x.var()))
+    alpha, top = np.full(len(x), 1 / len(x)), 10 / len(x)
+    slope = k @ alpha
+    while True:
+        up, down = np.where(alpha < top - 1e-12, slope, np.inf), np.where(alpha > 1e-12, slope, -np.inf)
+        i, j = int(up.argmin()), int(down.argmax())
+        if down[j] - up[i] < 1e-6:
+            break
+        step = min((slope[j] - slope[i]) / max(2 - 2 * k[i, j], 1e-12), top - alpha[i], alpha[j])
+        alpha[i] += step
+        alpha[j] -= step
+        slope += step * (k[i] - k[j])
+    rho = slope[(alpha > 1e-9) & (alpha < top - 1e-9)].mean()
+    got = {r.id for r in outliers.one_class(points(spark, rows.tolist())).collect()}
+    assert {int(i) for i in np.flatnonzero(slope < rho - 1e-4)} <= got <= {int(i) for i in np.flatnonzero(slope < rho + 1e-4)}
+    with pytest.raises(ValueError):
+        outliers.one_class(points(spark, rows.tolist()), most=1399)
+
+
 def test_dbscan_and_hull(spark):
     rng = np.random.default_rng(5)
     p = points(spark, [(x, y, 0) for x, y in np.concatenate([rng.normal(0, 0.1, (30, 2)), rng.normal(5, 0.1, (30, 2)), [[50.0, 50.0]]])])
