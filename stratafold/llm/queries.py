@@ -61,28 +61,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _op3_sql() -> str:
-    """The same votes, with runs compared by their words."""
-    rows = [(n, label, "true", text) for n, (text, label) in enumerate(licences.BASE.items())]
-    rows += [(len(licences.BASE) + n, label, "false", text) for n, (label, text) in enumerate(licences.TEMPLATES)]
-    values = ", ".join(f"({n}, '{label}', {base}, string_split('{text}', ' '))" for n, label, base, text in rows)
+    """Every place of a text is tried as the begin of every template, and the template's words are compared one by one."""
+    rows = [f"({n}, '{label}', {str(base).lower()}, string_split('{text}', ' '), {first}, {last})" for n, label, base, text, first, last in licences.entries()]
     k = licences.K_WORDS
+    same = " AND ".join(f"docs.words[place + {j}] = t.words[spot + {j}]" for j in range(1, k + 1))
     return f"""
         WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{licences.UPPER}', '{licences.LOWER}'), '{licences.SPLIT}'), lambda w: w <> '') AS words FROM documents),
-        places AS (SELECT rid, words, unnest(range(len(words) - {k - 1})) AS place FROM docs),
-        runs AS (SELECT rid, place, words[place + 1] || ' ' || words[place + 2] || ' ' || words[place + 3] AS run FROM places),
-        templates(template, label, base, words) AS (VALUES {values}),
-        spots AS (SELECT template, label, base, len(words) - {k - 1} AS runs, words, unnest(range(len(words) - {k - 1})) AS spot FROM templates),
-        marks AS (SELECT template, label, base, runs, spot, words[spot + 1] || ' ' || words[spot + 2] || ' ' || words[spot + 3] AS run FROM spots),
-        votes AS (SELECT rid, template, label, base, marks.runs AS runs, place - spot AS diagonal, count(*) AS votes, min(place) AS first, max(place) AS last FROM runs JOIN marks USING (run) GROUP BY ALL),
-        earlier AS (SELECT *, max({{'last': last, 'diagonal': diagonal}}) OVER (PARTITION BY rid, template ORDER BY first, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM votes),
-        marked AS (SELECT *, sum(CASE WHEN coalesce(base OR first > e.last + {k} OR abs(diagonal - e.diagonal) > {k}, true) THEN 1 ELSE 0 END) OVER (PARTITION BY rid, template ORDER BY first, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM earlier),
-        spans AS (SELECT rid, template, label, base, runs, span, sum(votes) AS votes, max(diagonal) AS diagonal FROM marked GROUP BY ALL),
-        judged AS (SELECT *, base AND votes = runs AS whole, least(votes / runs, 1.0) AS share FROM spans),
-        found AS (SELECT *, whole OR (NOT base AND share >= {licences.COVERAGE} AND votes >= least({licences.LEAST_RUNS}, runs)) AS found FROM judged)
+        t(template, label, base, words, key_first, key_last) AS (VALUES {', '.join(rows)}),
+        heads AS (SELECT DISTINCT words[spot + 1] AS w, template, spot FROM t, (SELECT unnest(range(400)) AS spot) WHERE spot <= len(words) - {k}),
+        hits AS (SELECT rid, t.template, spot, place - spot AS diagonal FROM (SELECT rid, words, unnest(range(len(words) - {k - 1})) AS place FROM docs) docs JOIN heads ON heads.w = docs.words[place + 1] JOIN t USING (template) WHERE {same}),
+        passages AS (SELECT a.rid, a.template, a.diagonal, list_distinct(list(b.spot)) AS held FROM (SELECT DISTINCT rid, template, diagonal FROM hits) a JOIN hits b ON a.rid = b.rid AND a.template = b.template AND abs(a.diagonal - b.diagonal) <= CASE WHEN a.template < {len(licences.BASE)} THEN 0 ELSE {licences.DRIFT} END GROUP BY ALL),
+        judged AS (SELECT rid, label, base, diagonal, len(held) / (len(t.words) - {k - 1}) AS share, base AND len(held) = len(t.words) - {k - 1} AS whole, list_has_all(held, range(key_first, key_last + 1)) AS keyed FROM passages JOIN t USING (template))
         SELECT docs.doc_id, CAST(len(docs.words) AS BIGINT) AS n_words, CAST(count(*) FILTER (WHERE whole) AS BIGINT) AS n_base, CAST(min(diagonal) FILTER (WHERE whole) AS BIGINT) AS first_word, CAST(max(diagonal) FILTER (WHERE whole) AS BIGINT) AS last_word,
-            coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE whole), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE found), '') AS labels,
+            coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE whole), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE whole OR NOT base AND share >= {licences.COVERAGE} AND keyed), '') AS labels,
             CAST(coalesce(max(CASE WHEN base AND NOT whole THEN 0 ELSE share END), 0) AS DOUBLE) AS score
-        FROM docs LEFT JOIN found USING (rid) GROUP BY docs.rid, docs.doc_id, docs.words"""
+        FROM docs LEFT JOIN judged USING (rid) GROUP BY docs.rid, docs.doc_id, docs.words"""
 
 
 _OP9_SQL = f"""

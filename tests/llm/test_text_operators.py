@@ -371,9 +371,31 @@ def test_licences_against_brute_force(spark, docs, empty):
 
 
 def test_licences_find_hurt_notices(spark):
-    notice = licences.TEMPLATES[0][1].split()
+    notice = licences.TEMPLATES[0][2].split()
     del notice[7]
     notice.insert(14, "extra")
     rows = [(1, f"{prose(1, 30)} {' '.join(notice)} {prose(2, 30)}"), (2, prose(3, 200))]
     got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].labels == "mit" and got[1].score > 0.6 and got[2].labels == ""
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("general public license " * 4, ""),
+        ("licensed under the " * 5, ""),
+        ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
+        ("Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+        ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "agpl"),
+        ("licensed under the gnu lesser general public license", "lgpl"),
+        ("under the mit license " * 3, "mit"),
+        ("neither the name of the copyright holder nor the names of", ""),
+    ],
+)
+def test_licences_verify_passages(spark, text, labels):
+    assert licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().labels == labels
+
+
+def test_licence_templates_hold_their_keys():
+    for label, key, text in licences.TEMPLATES:
+        assert f" {key} " in f" {text} " and len(key.split()) >= licences.K_WORDS and licences.normal_words(text) == text.split(), label
