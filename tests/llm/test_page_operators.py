@@ -50,9 +50,9 @@ def test_main_text_rules():
     page = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="<p>no</p>";</script></head><body><header>no</header><nav><a>no</a></nav>
     <div class="ad big">no</div><article><h1>Head &amp; tail</h1><p>one <b>two<br>three<p>four&nbsp;&#233; <!-- no --> <span>five</span></p><aside>no</aside>
     <div class="cookie-notice">no</div><form><input value="x">no</form><ul><li>a<li>b</ul><p>x < y</p></article><section id="comments"><article>no</article></section><footer>no</footer>"""
-    assert main_text.Page(page).main(set()) == "Head & tail\none two three\nfour é five\na\nb\nx < y"
-    assert main_text.Page("").main(set()) == "" and main_text.Page("plain  text").main(set()) == "plain text"
-    assert main_text.Page("<p>a<p>b</div></x><div>c").main(set()) == "a\nb\nc"
+    assert main_text.Page(page).main({}, {}) == "Head & tail\none two three\nfour é five\na\nb\nx < y"
+    assert main_text.Page("").main({}, {}) == "" and main_text.Page("plain  text").main({}, {}) == "plain text"
+    assert main_text.Page("<p>a<p>b</div></x><div>c").main({}, {}) == "a\nb\nc"
 
 
 @pytest.mark.parametrize(
@@ -69,7 +69,7 @@ def test_main_text_rules():
     ],
 )
 def test_main_text_keeps_what_is_not_named(page, text):
-    assert main_text.Page(page).main(set()) == text
+    assert main_text.Page(page).main({}, {}) == text
 
 
 def test_style_tree_removes_what_repeats(spark):
@@ -84,6 +84,83 @@ def test_style_tree_removes_what_repeats(spark):
     assert main_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_style_tree_judges_blocks_inside_articles(spark):
+    """What nearly every article of a site repeats goes, also without a class; what only some articles share stays, and so does a small site's text."""
+
+    def page(i):
+        shared = "<p>a passage of two stories</p>" if i < 2 else ""
+        return f"<body><div class='a'>menu {i * 7 % 13}</div><article><h1>story {i}</h1><p>Read our letter every week.</p><p>text {i}</p>{shared}<div class='x'><p>our offices</p></div></article></body>"
+
+    rows = [(i, f"http://big.org/{i}", page(i), "c") for i in range(14)] + [(100 + i, f"http://small.org/{i}", page(i), "c") for i in range(5)] + [(200, "http://big.org/copy", page(0), "c")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = {r.page_id: r.text for r in main_text.extract(docs).collect()}
+    assert got[0] == "story 0\ntext 0\na passage of two stories" and got[5] == "story 5\ntext 5" and got[200] == got[0]
+    assert got[102] == "story 2\nRead our letter every week.\ntext 2\nour offices"
+    assert {r.page_id: r.text for r in main_text.extract(docs, broadcast_nodes=0).collect()} == got
+
+
+def test_importance_against_brute_force(spark):
+    from collections import Counter, defaultdict
+    from math import log
+
+    def page(i):
+        return f"<body><div class='a'>{'one' if i % 3 else 'two'}</div><div class='b'><p>same</p><p>text {i}</p></div>{'<ul><li>x</ul>' if i % 2 else ''}</body>"
+
+    sources = [page(i) for i in range(9)] + [page(0)]
+    rows = [(i, "http://h/", t) for i, t in enumerate(sources)]
+    got = {(r.path, r.is_block): (r.pages, round(r.importance, 9)) for r in main_text.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    layouts, texts, blocks = defaultdict(Counter), defaultdict(Counter), Counter()
+    for t in sorted(set(sources)):
+        parsed = main_text.Page(t)
+        for path, layout, text in parsed.nodes():
+            layouts[path][layout] += 1
+            texts[path][text] += 1
+        blocks.update({(parsed.path[i], words) for i, _, words in parsed.blocks()})
+
+    def spread(counts):
+        n = sum(counts.values())
+        return -sum(c / n * log(c / n) for c in counts.values()) / log(n) if n > 1 else 1.0
+
+    want = {(p, False): (sum(layouts[p].values()), round(0.1 * spread(layouts[p]) + 0.9 * spread(texts[p]), 9)) for p in layouts}
+    for (path, words), c in blocks.items():
+        if c > 1:
+            n = sum(layouts[path].values())
+            want[main_text.digest(str(path), "", words), True] = (n, round(1 - log(c) / log(n), 9))
+    assert {k: (n, pytest.approx(v, abs=1e-8)) for k, (n, v) in want.items()} == got
+
+
+def test_main_text_takes_linear_time():
+    import time
+
+    hostile = ["<div>" * 100_000, "<div>" * 50_000 + "</b>" * 50_000, '<a "' * 100_000, "<!" * 200_000, "<form><h1>" * 20_000, "<p><button>" + "<div>" * 50_000, "<ul><li>" * 30_000, '<svg "' * 60_000, "<a '\">" * 50_001]
+    began = time.process_time()
+    for source in hostile:
+        main_text.Page(source).main({}, {})
+    assert time.process_time() - began < 20
+
+
+def test_main_text_awkward(spark):
+    long = "<article>" + "<p>word word</p>" * 60_000 + "</article>"
+    rows = [(1, "http://h/", long, 5, "x"), (None, None, None, None, None), (1, "http://h/", "<p>a", 1, "y"), (1, "http://h/", "<p>a", 1, "y"), (2, "http:///x", " \n ", 0, "")]
+    out = main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, path long, text string"))
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(((r.page_id or 0), r.n_chars) for r in out.collect()) == [(0, 0), (1, 1), (1, 1), (1, 60_000 * 10 - 1), (2, 0)]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<html class="no-cookie"><body class="single has-sidebar"><article>a</article>', "a"),
+        ("<form><article>a</article><input></form>", "a"),
+        ("<form><p>q</p></form><p>x</p>", "x"),
+        ('<main><div class="share">a</div><p>b</p></main>', "b"),
+        ('<a "b>c</a> d > e', "c d > e"),
+    ],
+)
+def test_main_text_weighs_evidence(page, text):
+    assert main_text.Page(page).main({}, {}) == text
+
+
 def test_main_text_of_pages(spark, sf):
     import html
 
