@@ -41,9 +41,32 @@ def test_rules_against_brute_force(spark, model):
 
 
 def test_regression_separates_hosts(spark, model):
-    rows = [(1, "http://www.cheap-pills.example.org/en/77"), (2, "https://blog.casino-win.example.net/de/5"), (3, "https://www.city-library.example.org/opening"), (4, "https://thther.example.org/en/233")]
-    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), model).collect()}
-    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+    """Hosts of words that are in no name of the table together, and of words that are in none."""
+    blocked = ["https://xxx-casino.org/", "http://free-porn.com/x", "http://m.payday-bonus.info/en/1", "https://poker-spam.net"]
+    allowed = ["https://www.city-council.example.org/opening", "http://harbourside.net/en/2", "https://qwlkjh.example.com/de/4", "", None, "x" * 100_000, "https://" + "y" * 50_000 + ".org/" + "z" * 50_000]
+    rows = list(enumerate(blocked + allowed)) + [(None, blocked[0]), (0, blocked[0])]
+    got = [(r.page_id, r.verdict) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), model).collect()]
+    assert sorted(got, key=str) == sorted([(i, "block" if i is None or i < len(blocked) else "allow") for i, _ in rows], key=str)
+
+
+def test_scores_against_brute_force(spark, model):
+    """The score is the logistic of the summed weights of a url's different n-grams."""
+    from math import exp
+
+    weights, intercept = model
+    urls = ["https://www.free-pills24.example.com/en/77?x", "http://library.org", "ftp://É.ü/ß"]
+    half = len(weights) // 2
+    for u, r in zip(urls, url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), model).orderBy("page_id").collect()):
+        host, path = (re.sub("[1-9]", "0", c) for c in rule_truth(u)[:2])
+        name, label = re.sub(r"\.[^.]*$", "", re.sub(r"^(www|m|blog)\.", "", host)), re.search(r"\.[^.]*$", host)[0]
+        grams = [(t[i : i + n], first) for t, first in ((f"^{name}$", 0), (f"{label}{path}$", half)) for n in url_filter.GRAMS for i in range(len(t) - n + 1)]
+        hashes = spark.createDataFrame(grams, "g string, first int").select((F.pmod(F.xxhash64("g"), F.lit(half)) + F.col("first")).alias("b")).distinct().collect()
+        assert r.score == pytest.approx(1 / (1 + exp(-intercept - sum(weights[h.b] for h in hashes))), abs=1e-9)
+
+
+def test_held_out_figures(spark):
+    threshold, precision, recall = url_filter.best_threshold(url_filter.held_out(spark))
+    assert threshold == pytest.approx(url_filter.THRESHOLD, abs=0.051) and precision > 0.93 and recall > 0.9
 
 
 def test_main_text_rules():
