@@ -3,14 +3,19 @@
 Every line that holds a word gets binary features; Viterbi decoding marks it as
 content or boilerplate, and a text is kept if enough of its words stand in
 content lines. The field is trained here on a bounded sample of labelled
-documents (``sample`` documents of ``labels``, ``quality`` 1 or 0; every line of
-a document takes the document's label), by gradient ascent on the conditional
-likelihood with exact forward-backward sums.
+documents (``sample`` documents of ``labels``, ``quality`` 1 or 0, and of each at
+most ``lines`` lines in a row). Labels of documents become labels of lines by a weak
+rule: a line's features have a probability in lines of kept and of rejected documents;
+with even odds in rejected documents, and odds of 1 to 19 in kept ones, the
+likelier class labels the line, so that documents of both classes hold lines of
+both. The field learns from these by gradient ascent on the conditional likelihood
+with exact forward-backward sums.
 
 Null texts count as empty: no word, ``base_failed`` true. Null ids are passed
-through, repeated rows are judged each on its own, empty tables give no rows,
-and other columns are ignored by ``judge`` and kept by ``keep``. Without labels
-of both classes the fixed prior weights below decide alone.
+through, repeated rows are judged each on its own, ties of the decoding go to
+content, a very long text is decoded whole within its task, empty tables give no
+rows, and other columns, whatever their names, are ignored by ``judge`` and kept by
+``keep``. Without labels of both classes the fixed prior weights below decide alone.
 """
 
 from __future__ import annotations
@@ -27,7 +32,10 @@ from stratafold.llm.doc_stats import LINE_FEATURES, Stats
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double, base_failed boolean, kept boolean"
 CONTENT_SHARE = 0.5
-SAMPLE = 2000
+#: The training sample: documents, and lines of each.
+SAMPLE, LINES = 2000, 500
+#: Probability of boilerplate, before its features are seen, of a line of a rejected and of a kept document.
+ODDS = (0.5, 0.05)
 SEGMENT = 200
 #: Weights towards content before training; zero where the data have to say it.
 PRIOR = dict.fromkeys(LINE_FEATURES, 0.0) | {"bias": 1.0, "many symbols": -2.0, "marks": -2.0, "capitals": -1.0, "pipes": -2.0, "echo": -3.0, "much repeated": -1.0}
@@ -129,8 +137,15 @@ def _spread(values: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values[order], np.diff(np.r_[first[order], n]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField:
-    """Fit the field on at most ``sample`` labelled documents, those with the smallest hashed ids; that bound also makes the broadcast safe."""
+def weak_labels(features: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Is each line content: by independent features of lines of kept and rejected documents, and the odds of its own document's class."""
+    rate = [(features[kept == k].sum(0) + 1) / ((kept == k).sum() + 2) for k in (False, True)]
+    ratio = features @ (np.log(rate[0]) - np.log(rate[1])) + (1 - features) @ (np.log1p(-rate[0]) - np.log1p(-rate[1]))
+    return ratio <= np.where(kept, *(np.log((1 - p) / p) for p in reversed(ODDS)))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> LineField:
+    """Fit the field on at most ``sample`` labelled documents, those with the smallest hashed ids, and ``lines`` lines in a row of each, from a hashed place; these bounds also make the broadcast and the collecting safe."""
     chosen = (
         labels.where("doc_id is not null and quality in (0, 1)")
         .groupBy("doc_id")
@@ -141,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     width = len(LINE_FEATURES)
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, block in K.blocks(batch, "text"):
                 found = Stats(block).lines()
@@ -149,18 +164,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField
                 ids = part.column(part.schema.get_field_index("doc_id")).to_numpy()
                 bits = (found.features @ (2.0 ** np.arange(width))).astype(np.int64)
                 for i in range(len(block)):
-                    own = found.owner == i
-                    if own.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[i]]), pa.array([int(label[i])], pa.int32()), pa.array([bits[own].tolist()], pa.list_(pa.int64()))], ["doc_id", "label", "bits"])
-
-    got = sorted(K.map_arrow(rows, lines, "doc_id long, label int, bits array<long>").collect(), key=lambda r: (r.doc_id, r.label, r.bits))
-    if len({r.label for r in got}) < 2:
+                    own = bits[found.owner == i]
+                    if len(own):
+                        at = int(K.mix(np.array([ids[i]], dtype=np.int64).view(np.uint64))[0] % np.uint64(max(len(own) - lines, 0) + 1))
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[i]]), pa.array([int(label[i])], pa.int32()), pa.array([own[at : at + lines].tolist()], pa.list_(pa.int64()))], ["doc_id", "label", "bits"])
+
+    # of rows with one doc_id, one counts
+    one = K.map_arrow(rows, described, "doc_id long, label int, bits array<long>").groupBy("doc_id", "label").agg(F.min("bits").alias("bits"))
+    got = sorted(tuple(r) for r in one.collect())
+    if len({label for _, label, _ in got}) < 2:
         return LineField()
-    bits = np.concatenate([np.array(r.bits, dtype=np.int64) for r in got])
-    owner = np.repeat(np.arange(len(got)), [len(r.bits) for r in got])
-    content = np.repeat([r.label == 1 for r in got], [len(r.bits) for r in got])
+    bits = np.concatenate([np.array(b, dtype=np.int64) for *_, b in got])
+    owner = np.repeat(np.arange(len(got)), [len(b) for *_, b in got])
+    kept = np.repeat([label == 1 for _, label, _ in got], [len(b) for *_, b in got])
     features = ((bits[:, None] >> np.arange(width)) & 1).astype(np.float64)
-    return LineField().fit(features, owner, content)
+    return LineField().fit(features, owner, weak_labels(features, kept))
 
 
 def _verdicts(block: K.Block, field: LineField, least: float) -> tuple[Stats, np.ndarray, np.ndarray, np.ndarray]:
