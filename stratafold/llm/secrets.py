@@ -7,8 +7,11 @@ is a keyword too, over a view of the text in which every such digit is the same
 letter. Tokens that embed a checksum count only if it fits.
 
 Null texts count as empty and have no span; null ids pass through; repeated rows
-are scanned each on its own; empty tables give no rows; other columns are ignored
-by ``scan`` and kept by ``redact``. Offsets are code points, ends exclusive.
+are scanned each on its own; spans of different kinds with one start stand in the
+order of the kinds; a very long text is scanned whole within its task, in time in
+proportion to its length; empty tables give no rows; other columns, whatever their
+names, are ignored by ``scan`` and kept by ``redact``. Offsets are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
@@ -63,7 +66,7 @@ PATTERNS = {
     "github": re.compile(rb"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     "npm": re.compile(rb"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     "jwt": re.compile(rb"(eyJ[A-Za-z0-9_-]{8,})\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "pem": re.compile(rb"-----BEGIN ([A-Z0-9]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END ([A-Z0-9]+ )?PRIVATE KEY-----"),
+    "pem": re.compile(rb"-----BEGIN ([A-Z0-9]+ )?PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,]|-(?!----))*+-----END ([A-Z0-9]+ )?PRIVATE KEY-----"),
     "slack": re.compile(rb"xox[abprs]-[0-9A-Za-z-]{20,}"),
     "google": re.compile(rb"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"),
     "stripe": re.compile(rb"sk_live_[0-9A-Za-z]{24,}"),
@@ -73,6 +76,7 @@ BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX_LEAST, ACCESS_LEAST, VALUE_LEAST = 24, 20, 6
 _HEX = re.compile(rb"[0-9a-f]+")
 _HEX_VIEW = bytes(104 if chr(c) in "0123456789abcdef" else 46 for c in range(256))
+_TOKEN = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -124,6 +128,8 @@ def find(block: K.Block, machine: ahocorasick.Automaton) -> dict[int, list[tuple
     for i, (start, kind) in sorted(zip(owner, hits), key=lambda x: x[1][0]):
         if start < done.get((i, kind), 0):
             continue
+        if kind == "jwt" and start > ends[i] and raw[start - 1] in _TOKEN:
+            continue  # within a token; trying each place of a long one would take its length squared
         if found := PATTERNS[kind].match(raw, start, int(ends[i + 1])):
             done[i, kind] = found.end()
             if _valid(kind, found):
