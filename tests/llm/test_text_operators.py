@@ -92,6 +92,44 @@ def test_field_learns_and_keeps_clean(spark, sf):
     assert right > 0.93 and clean > 0.98
 
 
+def test_weak_labels_against_brute_force():
+    from math import log
+
+    rng = np.random.default_rng(3)
+    x, kept = rng.integers(0, 2, (40, 3)).astype(float), rng.random(40) < 0.6
+    x[~kept, 0] = 1
+    got = quality_rules.weak_labels(x, kept)
+    for i in range(40):
+        prior = quality_rules.ODDS[int(kept[i])]
+        odds = log((1 - prior) / prior)
+        for f in range(3):
+            p0, p1 = ((sum(x[j, f] for j in range(40) if kept[j] == k) + 1) / (sum(kept == k) + 2) for k in (False, True))
+            odds -= log(p0 / p1) if x[i, f] else log((1 - p0) / (1 - p1))
+        assert got[i] == (odds >= 0)
+
+
+def test_field_decodes_mixed_documents(spark, sf):
+    """Lines of a rejected document put between those of a kept one are boilerplate, the others content."""
+    documents, labels = (spark.read.parquet(f"{sf}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    field = quality_rules.train(documents, labels)
+    junk = ["a | b | menu | home | login | c | d | e | f | g", "win### now*** buy%%% it&&& here$$$ all### day***"]
+    clean = [re.sub(r"\s+", " ", prose(s, 25)) + "." for s in range(8)]
+    lines = clean[:4] + junk + junk[:1] + clean[4:]
+    block = kernels.Block(__import__("pyarrow").array(["\n".join(lines)]))
+    found = quality_rules.Stats(block).lines()
+    assert field.decode(found.features, found.owner).tolist() == [True] * 4 + [False] * 3 + [True] * 4
+    out = quality_rules.judge(spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(clean[:1] + junk * 4)), (3, "\n".join(clean))], "doc_id long, text string"), field)
+    share = {r.doc_id: (r.content_share, r.kept) for r in out.collect()}
+    assert 0.5 < share[1][0] < 1 and share[1][1] and 0 < share[2][0] < 0.5 and not share[2][1] and share[3] == (1.0, True)
+
+
+def test_quality_training_awkward(spark, docs):
+    labels = spark.createDataFrame([(3, 0, 0), (4, 1, 0), (4, 0, 1), (None, 1, 1), (5, None, None), (8, 1, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    field = quality_rules.train(docs, labels, lines=3)
+    assert np.isfinite(field.emit).all() and quality_rules.judge(docs, field).count() == docs.count()
+    assert (quality_rules.train(docs.orderBy("n_chars"), labels, lines=3).emit == field.emit).all()
+
+
 def test_quality_score_held_out(spark, sf):
     documents, labels = (spark.read.parquet(f"{sf}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = quality_score.score(documents, labels).cache()
@@ -158,8 +196,40 @@ def test_secret_checksums_and_redaction(spark):
     assert out[1] == ("see [SECRET] here", 17) and out[2] == (rows[1][1], 0) and out[3] == ("é [SECRET] é", 12) and out[4] == (None, 0)
 
 
+def test_secret_further_kinds(spark):
+    import base64
+
+    body = b"0123456789abcdefghijABCDEFGHIJ"
+    npm = (b"npm_" + body + secrets.base62_crc(body)).decode()
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    jwt, no_jwt = f"{head}.abcdefgh12.ABCDEFGH34", "eyJhbGdhbGdhbGdh.abcdefgh12.ABCDEFGH34"
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nMIIE+/=\n-----END RSA PRIVATE KEY-----"
+    good = {"npm": npm, "jwt": jwt, "pem": pem, "slack": "xoxb-" + "1234567890-abcdefghij", "google": "AIza" + "a1_-" * 8 + "xyz", "stripe": "sk_live_" + "Ab1" * 8}
+    bad = [npm[:-1] + ("0" if npm[-1] != "0" else "1"), no_jwt, f"x{jwt}", pem.replace("END", "EN"), "xoxb-123", "AIza" + "a" * 36, "sk_live_" + "a" * 23]
+    rows = [(i, f"é {t} ?") for i, t in enumerate([*good.values(), *bad])]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (kind, t) in enumerate(good.items()):
+        assert got[i] == f"{kind}:2:{2 + len(t)}"
+    assert all(got[len(good) + k] == "" for k in range(len(bad)))
+    both = kernels.Block(__import__("pyarrow").array(["a", jwt]))
+    assert secrets.find(both, secrets.automaton())[1][0][1] == secrets.KINDS.index("jwt")
+
+
+def test_secrets_take_linear_time():
+    import time
+
+    import pyarrow as pa
+
+    began = time.process_time()
+    for t in ("-----BEGIN RSA PRIVATE KEY-----\n" * 30_000, "eyJ" * 300_000, "token  " * 100_000, "xoxa-" * 100_000, "AKIA" * 200_000, "sk_live_" * 100_000, "secret" * 100_000):
+        secrets.find(kernels.Block(pa.array([t])), secrets.automaton())
+    assert time.process_time() - began < 15
+
+
 def test_secrets_awkward(docs, empty):
-    assert secrets.scan(docs).count() == docs.count() and secrets.scan(empty).count() == 0
+    got = sorted(str((r.doc_id, r.base_sha256)) for r in secrets.scan(docs).collect())
+    names = [(r.doc_id, ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base_spans(r.text))) for r in docs.collect()]
+    assert got == sorted(str((i, hashlib.sha256(n.encode()).hexdigest())) for i, n in names) and secrets.scan(empty).count() == 0
     assert sorted(map(str, secrets.redact(docs).collect())) == sorted(map(str, docs.collect()))
 
 
