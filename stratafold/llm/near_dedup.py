@@ -22,10 +22,16 @@ more; classes are connected components by alternating large and small stars.
 All of that is aggregations and skew-splittable joins over tables in the shared
 folder; nothing but counts reaches the driver.
 
+Rows are numbered once and written with their numbers to the shared folder, so that a
+lost executor or another split of the files cannot number them anew. A block holds
+at most about ``BLOCK_RUNS`` runs and ``BLOCK_TEXTS`` texts, and members of a bucket
+are screened by blocks too, so no task grows with a bucket.
+
 Null texts count as empty; texts without a word are only alike if equal. Repeated
 rows and null ids are classed like others; a class's id is its least doc_id (null
-if all are null). Empty tables give no rows. docs has to be a stable scan (such as
-Parquet): a row's number in it must not change between two reads.
+if all are null), its representative the first row with that id. A very long text is
+signed and compared whole within its task. Other columns are kept by ``keep``,
+whatever their names, and ignored by ``classes``. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -45,8 +51,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 HUBS = 3
 NIBBLES = 16
-#: Runs of words in a block, on average, and columns of a matrix that are filled at a time.
-BLOCK_RUNS = 200_000
+#: Runs of words and texts in a block, on average, and columns of a matrix that are filled at a time.
+BLOCK_RUNS, BLOCK_TEXTS = 200_000, 2_000
+#: Members of a bucket in a block of the screening by sketches.
+SCREENED = 4_000
 WIDTH = 4096
 
 
@@ -248,9 +256,9 @@ def _numbered_runs(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.
 
 def _between(members: DataFrame, numbered: DataFrame, least: float) -> DataFrame:
     """New links (a, b) between different roots within each bucket of members (bucket, rid, n, root)."""
-    load = members.groupBy("bucket").agg(F.sum("n").alias("load"))
-    blocks = F.ceil(F.col("load") / BLOCK_RUNS).cast("int")
-    dealt = members.join(load, "bucket").select("bucket", "rid", "root", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("rid", "bucket"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_RUNS, F.count("*") / BLOCK_TEXTS, F.lit(1.0))).cast("int")
+    load = members.groupBy("bucket").agg(blocks.alias("blocks"))
+    dealt = members.join(load, "bucket").withColumn("block", F.pmod(F.xxhash64("rid", "bucket"), F.col("blocks")).cast("int"))
     full = dealt.join(numbered.select("rid", "text").hint("merge"), "rid")
     pairs = full.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = pairs.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "rid", "root", "block", "text")
@@ -287,49 +295,71 @@ def _alike(a: str, b: str, least: float):
     return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row of docs: rid (its number in the scan), doc_id, class_id, n_texts (different texts in the class), representative (one row of each class)."""
+def _screened(scratch: K.Scratch, known: DataFrame, sketches_: DataFrame, m: int, similarity: float) -> DataFrame:
+    """Members (bucket, rid, n, root) of buckets with several components that may be alike with one of another component.
+
+    Members are dealt into blocks, and each pair of blocks is a key of its own.
+    """
+    parts = F.ceil(F.count("*") / SCREENED).cast("int")
+    mixed = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), parts.alias("parts")).where("low < high").select("bucket", "parts")
+    dealt = known.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("nid", "bucket"), F.col("parts")).cast("int"))
+    dealt = scratch.put(dealt.withColumnRenamed("nid", "y").join(sketches_, "y"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one = dealt.withColumn("with", every)
+    names = _sketch_names(m)
+    other = dealt.select("bucket", F.col("part").alias("with"), every.alias("part"), F.col("n").alias("xn"), F.col("root").alias("xroot"), *(F.col("y" + c).alias("x" + c) for c in names))
+    other = other.select(*(F.col(c).alias("o_" + c) for c in ("bucket", "part", "with")), "xn", "xroot", *("x" + c for c in names))
+    keys = (F.col("bucket") == F.col("o_bucket")) & (F.col("part") == F.col("o_part")) & (F.col("with") == F.col("o_with"))
+    maybe = keys & (F.col("root") != F.col("xroot")) & _alike("n", "xn", similarity) & _close(m, similarity, "xs", "ys")
+    return scratch.put(one.join(other, maybe, "left_semi").select("bucket", F.col("y").alias("rid"), "n", "root").distinct())
+
+
+def _classes(scratch: K.Scratch, numbered: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
     m = bands * rows
-    with K.Scratch(docs.sparkSession) as scratch:
-        numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-        prints = scratch.put(_fingerprints(numbered, bands, rows))
-        nodes = scratch.put(
-            prints.groupBy("digest").agg(
-                F.min("rid").alias("nid"),
-                F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "rid")).alias("rep"),
-                F.first("n").alias("n"),
-                F.first("bands").alias("bands"),
-                *(F.first(c).alias(c) for c in _sketch_names(m)),
-            )
+    prints = scratch.put(_fingerprints(numbered, bands, rows))
+    nodes = scratch.put(
+        prints.groupBy("digest").agg(
+            F.min("rid").alias("nid"),
+            F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "rid")).alias("rep"),
+            F.first("n").alias("n"),
+            F.first("bands").alias("bands"),
+            *(F.first(c).alias(c) for c in _sketch_names(m)),
         )
-        sketch = {p: nodes.select(F.col("nid").alias(p), *(F.col(c).alias(p + c) for c in _sketch_names(m))) for p in ("a", "b", "x", "y")}
-        placed = nodes.select("nid", "n", F.posexplode("bands").alias("band", "bucket"))
-        rank = F.xxhash64("nid", F.col("band") % HUBS)
-        hubs = scratch.put(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("rank"), "nid", "n")).alias("hub")).where("size > 1").select("bucket", F.col("hub.nid").alias("hub"), F.col("hub.n").alias("hub_n")))
-        mates = scratch.put(placed.select("bucket", "nid", "n").join(hubs, "bucket"))
-        near = mates.where((F.col("nid") != F.col("hub")) & _alike("n", "hub_n", similarity))
-        near = near.select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b")).distinct()
-        pairs = scratch.put(near.join(sketch["a"], "a").join(sketch["b"], "b").where(_close(m, similarity, "as", "bs")).select("a", "b"))
-        roots = components(scratch, scratch.put(_verified(pairs, numbered, similarity)))
-        # What shares a bucket and is not yet in one component.
-        known = scratch.put(mates.select("bucket", "nid", "n").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
-        mixed = scratch.put(known.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"))
-        open_ = scratch.put(known.join(mixed.select("bucket"), "bucket").withColumnRenamed("nid", "y").join(sketch["y"], "y"))
-        other = open_.select(F.col("bucket").alias("own"), F.col("y").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xroot"), *(F.col("y" + c).alias("x" + c) for c in _sketch_names(m)))
-        maybe = (F.col("bucket") == F.col("own")) & (F.col("root") != F.col("xroot")) & _alike("n", "xn", similarity) & _close(m, similarity, "xs", "ys")
-        left = scratch.put(open_.join(other, maybe, "left_semi").select("bucket", F.col("y").alias("rid"), "n", "root"))
-        if not left.isEmpty():
-            more = scratch.put(_between(left, numbered, similarity))
-            if not more.isEmpty():
-                roots = components(scratch, more.union(roots.select("node", "root")))
-        rooted = scratch.put(nodes.select("digest", "nid", "rep").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
-        best = rooted.groupBy("root").agg(F.min("rep").alias("best"), F.count("*").alias("n_texts"))
-        named = scratch.put(rooted.join(scratch.put(best), "root").select("digest", F.col("best.doc_id").alias("class_id"), F.col("best.rid").alias("best"), "n_texts"))
-        return K.settled(prints.select("rid", "doc_id", "digest").join(named, "digest").select("rid", "doc_id", "class_id", "n_texts", (F.col("rid") == F.col("best")).alias("representative")))
+    )
+    sketch = {p: nodes.select(F.col("nid").alias(p), *(F.col(c).alias(p + c) for c in _sketch_names(m))) for p in ("a", "b", "y")}
+    placed = nodes.select("nid", "n", F.posexplode("bands").alias("band", "bucket"))
+    rank = F.xxhash64("nid", F.col("band") % HUBS)
+    hubs = scratch.put(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(rank.alias("rank"), "nid", "n")).alias("hub")).where("size > 1").select("bucket", F.col("hub.nid").alias("hub"), F.col("hub.n").alias("hub_n")))
+    mates = scratch.put(placed.select("bucket", "nid", "n").join(hubs, "bucket"))
+    near = mates.where((F.col("nid") != F.col("hub")) & _alike("n", "hub_n", similarity))
+    near = near.select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b")).distinct()
+    pairs = scratch.put(near.join(sketch["a"], "a").join(sketch["b"], "b").where(_close(m, similarity, "as", "bs")).select("a", "b"))
+    roots = components(scratch, scratch.put(_verified(pairs, numbered, similarity)))
+    # What shares a bucket and is not yet in one component.
+    known = scratch.put(mates.select("bucket", "nid", "n").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
+    left = _screened(scratch, known, sketch["y"], m, similarity)
+    if not left.isEmpty():
+        more = scratch.put(_between(left, numbered, similarity))
+        if not more.isEmpty():
+            roots = components(scratch, more.union(roots.select("node", "root")))
+    rooted = scratch.put(nodes.select("digest", "nid", "rep").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
+    best = rooted.groupBy("root").agg(F.min("rep").alias("best"), F.count("*").alias("n_texts"))
+    named = scratch.put(rooted.join(scratch.put(best), "root").select("digest", F.col("best.doc_id").alias("class_id"), F.col("best.rid").alias("best"), "n_texts"))
+    return K.settled(prints.select("rid", "doc_id", "digest").join(named, "digest").select("rid", "doc_id", "class_id", "n_texts", (F.col("rid") == F.col("best")).alias("representative")))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row of docs: rid (a number of its own), doc_id, class_id, n_texts (different texts in the class), representative (one row of each class)."""
+    with K.Scratch(docs.sparkSession) as scratch:
+        numbered = scratch.put(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+        return _classes(scratch, numbered, similarity, bands, rows)
 
 
 def keep(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of docs, with all their columns, that represent their class."""
     number = "rid of the scan"
-    dropped = classes(docs, similarity, bands, rows).where("not representative").select(F.col("rid").alias(number))
-    return docs.withColumn(number, F.monotonically_increasing_id()).join(dropped, number, "left_anti").select(*docs.columns)
+    numbered = K.settled(docs.withColumn(number, F.monotonically_increasing_id()))
+    with K.Scratch(docs.sparkSession) as scratch:
+        found = _classes(scratch, numbered.select(F.col(number).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), similarity, bands, rows)
+    dropped = found.where("not representative").select(F.col("rid").alias(number))
+    return numbered.join(dropped, number, "left_anti").select(*docs.columns)

@@ -382,6 +382,66 @@ def test_near_dedup_finds_links_in_large_mixed_buckets():
     assert same(parent) == same(want)
 
 
+def linked_by_brute_force(texts):
+    """The class of each text by the overlap of all pairs."""
+    bag = [bags(t) for t in texts]
+    top = list(range(len(texts)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            shared = sum((bag[a] & bag[b]).values())
+            whole = sum(bag[a].values()) + sum(bag[b].values()) - shared
+            if whole and shared >= 0.8 * whole - 1e-9:
+                top[root(a)] = root(b)
+    return [root(i) for i in range(len(texts))]
+
+
+def test_near_dedup_deals_large_buckets_into_blocks(spark, tmp_path, monkeypatch):
+    """Many short texts of one bucket, in blocks of a few, give the classes of brute force."""
+    for name in ("SCREENED", "BLOCK_TEXTS"):
+        monkeypatch.setattr(near_dedup, name, 7)
+    rng = random.Random(12)
+    base = prose(1, 60).split()
+    texts = []
+    for _ in range(70):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 3))):
+            w[rng.randrange(len(w))] = f"c{rng.randrange(9)}"
+        texts.append(" ".join(w))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.read.parquet(str(tmp_path / "d")), bands=40, rows=3).collect()}
+    want = linked_by_brute_force(texts)
+    assert len({(got[i], want[i]) for i in got}) == len(set(want)) == len(set(got.values()))
+
+
+def test_near_dedup_recall(spark, sf):
+    """Of the pairs of different texts of similarity 0.8 or more, found by comparing all, at least 0.95 are in one class, and no class joins texts without a chain of such pairs."""
+    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    rows = docs.collect()
+    texts = sorted({r.text for r in rows})
+    bag = [bags(t) for t in texts]
+    where = collections.defaultdict(set)
+    for i, b in enumerate(bag):
+        for k in b:
+            where[k].add(i)
+    ids = {r.text: r.doc_id for r in rows}
+    seen = found = 0
+    for a in range(len(texts)):
+        for b in set().union(*(where[k] for k in bag[a])):
+            if b < a:
+                shared = sum((bag[a] & bag[b]).values())
+                if shared >= 0.8 * (sum(bag[a].values()) + sum(bag[b].values()) - shared):
+                    seen += 1
+                    found += got[ids[texts[a]]] == got[ids[texts[b]]]
+    assert seen > 20 and found >= 0.95 * seen
+
+
 def test_bag_signature_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     keys = kernels.mix(np.arange(1, 61, dtype=np.uint64))
