@@ -9,11 +9,14 @@ least edit distance within each window.
 
 The items go to the workers inside the function, in blocks of at most
 ``block_bytes`` of folded text each; a larger benchmark takes more passes over the
-documents. Null or empty items match nothing; null texts count as empty;
-repeated rows are reported each; empty tables give no rows. Items whose budget
-is 0 must occur verbatim; those of fewer than ``LEAST_WORDS`` words besides
-between borders of words, which in scripts without spaces are all places between
-characters.
+documents, and after each ``PASS_BLOCKS`` of them the result so far is settled and
+their blocks are freed, so the driver never holds more. Null or empty items match
+nothing; null texts count as empty; repeated rows and items are reported each; of
+occurrences with equal distance the first counts; a very long text is searched whole
+within its task; empty tables give no rows; other columns, whatever their names, are
+ignored by ``leaks`` and kept by ``clean``. Items whose budget is 0 must occur
+verbatim; those of fewer than ``LEAST_WORDS`` words besides between borders of words,
+which in scripts without spaces are all places between characters.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from stratafold.llm import kernels as K
 RATE = 0.08
 LEAST_WORDS = 5
 BLOCK_BYTES = 4 << 20
+PASS_BLOCKS = 4
 SCHEMA = "doc_id long, item_id long, distance long, folded_end long"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if K.ALNUM_WORD[c] else 32 for c in range(256))
 
@@ -134,19 +138,20 @@ class Items:
         return sorted(out)
 
 
-def _blocks(benchmark: DataFrame, rate: float, block_bytes: int) -> list[Items]:
-    out: list[list[tuple[int, bytes]]] = [[]]
+def _blocks(benchmark: DataFrame, rate: float, block_bytes: int) -> Iterator[Items]:
+    """The benchmark block by block, at least one; an item longer than a block is one of its own."""
+    block: list[tuple[int, bytes]] = []
     size = 0
     for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
         text = fold(row.text.encode())
         if not text:
             continue
-        if size + len(text) > block_bytes and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((row.item_id, text))
+        if size + len(text) > block_bytes and block:
+            yield Items(block, rate)
+            block, size = [], 0
+        block.append((row.item_id, text))
         size += len(text)
-    return [Items(items, rate) for items in out]
+    yield Items(block, rate)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -168,9 +173,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes
         return rows
 
     out = None
-    for items in _blocks(benchmark, rate, block_bytes):
+    for k, items in enumerate(_blocks(benchmark, rate, block_bytes), 1):
         part = K.map_arrow(source, finder(items), SCHEMA)
         out = part if out is None else out.unionByName(part)
+        if k % PASS_BLOCKS == 0:
+            out = K.settled(out)
     return out
 
 
@@ -188,6 +195,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes
 
         return rows
 
-    for items in _blocks(benchmark, rate, block_bytes):
+    for k, items in enumerate(_blocks(benchmark, rate, block_bytes), 1):
         docs = K.map_arrow(docs, keeper(items), docs.schema)
+        if k % PASS_BLOCKS == 0:
+            docs = K.settled(docs)
     return docs
