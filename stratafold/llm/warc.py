@@ -7,14 +7,17 @@ lacks: record identifiers (name-based, so a repeated task gives the same ones),
 timestamps, record types, and payload and block digests.
 
 WARC files are written by Spark's text sink, one record per row with the two blank
-lines of the format as line separator, gzip-compressed, and read back with the
-binary source by declared lengths, so any file system of Spark's will do.
+lines of the format as line separator, one gzip stream a file (the sink has no
+stream a record), and read back with the binary source by declared lengths, so any
+file system of Spark's will do. A reader holds a compressed file and one record.
 
 Payloads of at least ``least`` bytes that occur more than once are stored once, by
 the row with the largest page_id (all rows with that id, if it repeats); others
 refer to it. Null html is an empty payload, null urls are written as an empty
 target; a row with a null page_id is a response unless an equal payload has an id.
-Payloads are told apart by SHA-1 and length. Empty tables give no rows.
+Payloads are told apart by SHA-1 and length. Rows that repeat are records that
+repeat and share their identifier. A very long page is one record within its task.
+Other columns are ignored, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -146,17 +150,21 @@ def to_warc(header: dict[str, str], body: bytes, least: int = LEAST, largest: in
 
 
 def warc_records(data: bytes) -> Iterator[Record]:
-    """The records of an uncompressed WARC file, by their declared lengths."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {lines[0][:80]!r}")
-        headers = dict((k.strip(), v.strip()) for k, _, v in (line.partition(":") for line in lines[1:]))
+    """The records of a WARC file, gzip-compressed or not, by their declared lengths."""
+    stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"not a WARC record: {first[:80]!r}")
+        headers = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            headers[name.strip()] = value.strip()
         size = int(headers.pop("Content-Length"))
-        yield Record(headers, data[stop + 4 : stop + 4 + size])
-        at = stop + 4 + size + 4
+        block = stream.read(size)
+        if len(block) < size:
+            raise ValueError("a WARC record is longer than its file")
+        yield Record(headers, block)
+        stream.read(4)
 
 
 def _network_document(page_id: int | None, html: bytes) -> bytes:
@@ -191,21 +199,22 @@ def write(pages: DataFrame, path: str, scratch: K.Scratch, least: int = LEAST, f
 def read(spark, path: str) -> DataFrame:
     """Per record of the WARC files under path: page_id, payload_bytes, payload_digest (hexadecimal), record_type, refers_to."""
 
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+    def described(r: Record) -> tuple:
+        fields, body = r.http()
+        digest = base64.b32decode(r.headers["WARC-Payload-Digest"].partition(":")[2]).hex()
+        if r.headers["WARC-Type"] == "response" and sha1(body) != digest:
+            raise ValueError(f"the payload of {r.headers['WARC-Record-ID']} does not fit its digest")
+        number, top = fields.get("x-page-id"), r.headers.get("X-Refers-To-Page-Id")
+        return int(number) if number else None, int(fields["content-length"]), digest, r.headers["WARC-Type"], int(top) if top else None
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                found = []
-                for r in warc_records(data):
-                    fields, body = r.http()
-                    digest = base64.b32decode(r.headers["WARC-Payload-Digest"].partition(":")[2]).hex()
-                    if r.headers["WARC-Type"] == "response" and sha1(body) != digest:
-                        raise ValueError(f"the payload of {r.headers['WARC-Record-ID']} does not fit its digest")
-                    number, top = fields.get("x-page-id"), r.headers.get("X-Refers-To-Page-Id")
-                    found.append((int(number) if number else None, int(fields["content-length"]), digest, r.headers["WARC-Type"], int(top) if top else None))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[k]) for k in range(5)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                found = [described(r) for r in warc_records(content.as_py())]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[k]) for k in range(5)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return K.map_arrow(files, parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
