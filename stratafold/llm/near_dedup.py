@@ -52,7 +52,7 @@ BANDS, ROWS = 24, 5
 HUBS = 3
 NIBBLES = 16
 #: Runs of words and texts in a block, on average, and columns of a matrix that are filled at a time.
-BLOCK_RUNS, BLOCK_TEXTS = 200_000, 2_000
+BLOCK_RUNS, BLOCK_TEXTS = 200_000, 400
 #: Members of a bucket in a block of the screening by sketches.
 SCREENED = 4_000
 WIDTH = 4096
