@@ -65,7 +65,7 @@ def header_row(text: str, sep: str) -> int:
 
 
 def read_csv(spark: SparkSession, path: str, limit: int | None = None, **given) -> DataFrame:
-    """Delimited text with sniffed encoding, delimiter and header; all columns text, null tokens null, lines before the header left out."""
+    """A file of delimited text with sniffed encoding, delimiter and header; all columns text, null tokens null, lines before the header left out."""
     raw = head(spark, path)
     code = given.get("encoding") or encoding(raw)
     text = raw.decode(code, "replace").lstrip("﻿")
@@ -76,17 +76,14 @@ def read_csv(spark: SparkSession, path: str, limit: int | None = None, **given)
     names = [c.strip() or f"column_{i}" for i, c in enumerate(next(csv.reader([text.splitlines()[at]], delimiter=sep)))]
     single = code.lower() not in ("utf-8", "utf-16", "iso-8859-1", "us-ascii")  # read byte for byte, then translated
     rows = spark.read.csv(path, sep=sep, encoding="iso-8859-1" if single else code, header=at == 0, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, schema=", ".join(f"`{c}` string" for c in names), enforceSchema=True)
+    if at:
+        # by place: the first lines of the file's first block, blank ones not counted, are those above the data
+        above = sum(bool(line.strip()) for line in text.splitlines()[: at + 1])
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        rows = rows.select("*", F.col("_metadata.file_block_start").alias("_block")).withColumn("_place", place).where((F.col("_block") > 0) | (F.col("_place") >= above)).drop("_block", "_place")
     if single:
         high = bytes(range(128, 256))
         rows = rows.select(*(F.translate(f"`{c}`", high.decode("latin-1"), high.decode(code, "replace")).alias(c) for c in names))
-    if at:
-        # the lines before the header and the header itself, told by what they hold
-        above = [next(csv.reader([line], delimiter=sep), []) for line in text.splitlines()[: at + 1] if line.strip()]
-        for cells in above:
-            first = (cells[0].strip() if cells else "") or None
-            second = (cells[1].strip() if len(cells) > 1 else "") or None
-            rest = F.col(f"`{names[1]}`").eqNullSafe(F.lit(second)) if len(names) > 1 else F.lit(True)
-            rows = rows.where(~(F.col(f"`{names[0]}`").eqNullSafe(F.lit(first)) & rest))
     rows = rows.select(*(F.when(F.trim(f"`{c}`").isin(*NULL_TOKENS), None).otherwise(F.col(f"`{c}`")).alias(c) for c in names))
     return rows.limit(limit) if limit is not None else rows
 
