@@ -9,6 +9,8 @@ GLOBAL_LIMIT points; beyond that use the local form.
 
 from __future__ import annotations
 
+from itertools import combinations_with_replacement
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,9 +71,9 @@ def radius_join_folds(points: DataFrame, fold: str, search: Search) -> DataFrame
     return near.join(points.select(F.col("id").alias("qid"), F.col(fold).alias("_qf")), "qid").where("_nf <> _qf").drop("_nf", "_qf")
 
 
-def global_rows(points: DataFrame) -> np.ndarray:
-    """x, y, value of all points, for one dense system; more than GLOBAL_LIMIT points are refused, never cut."""
-    rows = points.select("x", "y", "value").orderBy("id").limit(GLOBAL_LIMIT + 1).toPandas().to_numpy()
+def global_rows(points: DataFrame, axes=("x", "y")) -> np.ndarray:
+    """Places and value of all points, for one dense system; more than GLOBAL_LIMIT points are refused, never cut."""
+    rows = points.select(*axes, "value").orderBy("id").limit(GLOBAL_LIMIT + 1).toPandas().to_numpy()
     if len(rows) > GLOBAL_LIMIT:
         raise ValueError(f"a global system takes at most {GLOBAL_LIMIT} points; give a search")
     return rows
@@ -126,23 +128,29 @@ def _krige(places: np.ndarray, values: np.ndarray, targets: np.ndarray, model: V
     return (w[:, :n] * values).sum(1), np.maximum((w * right).sum(1), 0)
 
 
-def kriging(points: DataFrame, targets: DataFrame, model: Variogram, k: Kriging = Kriging(), search: Search | None = None) -> DataFrame:
-    """(id, estimate, variance). With ``search`` local: a target without neighbours gets the mean and the sill. A singular system gives its nearest value and nugget plus sill."""
+def _gathered(points: DataFrame, targets: DataFrame, search: Search, axes) -> DataFrame:
+    """Each target's id and place, and lists of its neighbours' places and values, nearest first."""
+    found = with_fallback(targets, points, search.max_points, search.radius, search.min_points, axes, keep=(*axes, "value"))
+    near = found.groupBy(F.col("qid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", *axes, "value"))).alias("near"))
+    lists = [F.col(f"near.{c}").alias(f"n{c}") for c in (*axes, "value")]
+    return targets.select("id", *(F.col(c).alias(f"t{c}") for c in axes)).join(near, "id", "left").select("id", *(f"t{c}" for c in axes), *lists)
+
+
+def kriging(points: DataFrame, targets: DataFrame, model: Variogram, k: Kriging = Kriging(), search: Search | None = None, axes=("x", "y")) -> DataFrame:
+    """(id, estimate, variance) in two or three dimensions. With ``search`` local: a target without neighbours gets the mean and the sill. A singular system gives its nearest value and nugget plus sill."""
     mean = k.mean if k.mean is not None else (points.agg(F.avg("value")).first()[0] or 0.0)
     reachable(points.sparkSession)
     if search is None:
-        rows = global_rows(points)
-        return targets.select("id", "x", "y").mapInArrow(lambda batches: (_global_batch(b, rows, model, k, mean) for b in batches), "id long, estimate double, variance double")
-    found = with_fallback(targets, points, search.max_points, search.radius, search.min_points, keep=("x", "y", "value"))
-    near = found.groupBy(F.col("qid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y", "value"))).alias("near"))
-    rows = targets.select("id", F.col("x").alias("tx"), F.col("y").alias("ty")).join(near, "id", "left").select("id", "tx", "ty", F.col("near.x").alias("nx"), F.col("near.y").alias("ny"), F.col("near.value").alias("nv"))
+        rows = global_rows(points, axes)
+        return targets.select("id", *axes).mapInArrow(lambda batches: (_global_batch(b, rows, model, k, mean) for b in batches), "id long, estimate double, variance double")
+    rows = _gathered(points, targets, search, axes)
     return rows.mapInArrow(lambda batches: (_local_batch(b, lambda p, v, t: _krige(p, v, t, model, k, mean), mean, model.sill, model.nugget + model.sill) for b in batches), "id long, estimate double, variance double")
 
 
 def _global_batch(batch: pa.RecordBatch, rows: np.ndarray, model: Variogram, k: Kriging, mean: float) -> pa.RecordBatch:
-    t = np.column_stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()])
+    places, values = rows[:, :-1], rows[:, -1]
+    t = np.column_stack([batch.column(1 + i).to_numpy() for i in range(places.shape[1])])
     est, var = np.zeros(len(t)), np.zeros(len(t))
-    places, values = rows[:, :2], rows[:, 2]
     n, d = places.shape
     top = model.nugget + model.sill
     gap = np.linalg.norm(places[:, None] - places[None], axis=2)
@@ -166,14 +174,15 @@ def _global_batch(batch: pa.RecordBatch, rows: np.ndarray, model: Variogram, k:
 
 
 def _local_batch(batch: pa.RecordBatch, solve, mean: float, empty: float, top: float) -> pa.RecordBatch:
-    t = np.column_stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()])
-    lists = [batch.column(c).to_pylist() for c in (3, 4, 5)]
+    d = (batch.num_columns - 2) // 2
+    t = np.column_stack([batch.column(1 + i).to_numpy() for i in range(d)])
+    lists = [batch.column(c).to_pylist() for c in range(1 + d, 2 + 2 * d)]
     sizes = np.array([len(x) if x else 0 for x in lists[0]])
     est, var = np.full(len(t), mean), np.full(len(t), empty)
     for n in np.unique(sizes[sizes > 0]):
         own = np.flatnonzero(sizes == n)
-        places = np.stack([np.array([lists[0][i] for i in own]), np.array([lists[1][i] for i in own])], axis=2)
-        values = np.array([lists[2][i] for i in own])
+        places = np.stack([np.array([lists[c][i] for i in own]) for c in range(d)], axis=2)
+        values = np.array([lists[d][i] for i in own])
         try:
             est[own], var[own] = solve(places, values, t[own])
         except np.linalg.LinAlgError:
@@ -185,14 +194,20 @@ def _local_batch(batch: pa.RecordBatch, solve, mean: float, empty: float, top: f
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(est), pa.array(var)], ["id", "estimate", "variance"])
 
 
+def _terms(places: np.ndarray, degree: int) -> np.ndarray:
+    """Columns of the polynomial of the degree: 1, places, and their products."""
+    out = [np.ones(len(places))]
+    for k in range(1, degree + 1):
+        out += [places[:, list(c)].prod(1) for c in combinations_with_replacement(range(places.shape[1]), k)]
+    return np.column_stack(out)
+
+
 def _rbf_solve(places: np.ndarray, values: np.ndarray, p: Rbf) -> np.ndarray:
-    """Weights and, with degree 0 or 1, polynomial terms of one system."""
-    if p.degree >= 2:
-        raise NotImplementedError("polynomials of degree 2 and more")
-    n, d = places.shape
+    """Weights and, with a degree of 0 or more, polynomial terms of one system."""
+    n = len(places)
     phi = kernel_values(p.kernel, np.linalg.norm(places[:, None] - places[None], axis=2), p.epsilon) + p.regularization * np.eye(n)
     if p.degree >= 0:
-        poly = np.column_stack([np.ones(n), places]) if p.degree else np.ones((n, 1))
+        poly = _terms(places, p.degree)
         m = poly.shape[1]
         phi = np.block([[phi, poly], [poly.T, np.zeros((m, m))]])
         values = np.concatenate([values, np.zeros(m)])
@@ -202,32 +217,34 @@ def _rbf_solve(places: np.ndarray, values: np.ndarray, p: Rbf) -> np.ndarray:
         return np.linalg.pinv(phi, rcond=1e-12) @ values
 
 
-def rbf(points: DataFrame, targets: DataFrame, p: Rbf = Rbf(), search: Search | None = None) -> DataFrame:
-    """(id, estimate) by a global system or, with ``search``, a small one per target (without polynomial)."""
+def rbf(points: DataFrame, targets: DataFrame, p: Rbf = Rbf(), search: Search | None = None, axes=("x", "y")) -> DataFrame:
+    """(id, estimate) by a global system or, with ``search``, a small one per target (without polynomial), all of one size at once."""
     reachable(points.sparkSession)
     mean = points.agg(F.avg("value")).first()[0] or 0.0
     if search is None:
-        rows = global_rows(points)
-        w = _rbf_solve(rows[:, :2], rows[:, 2], p)
+        rows = global_rows(points, axes)
+        places = rows[:, :-1]
+        w = _rbf_solve(places, rows[:, -1], p)
         n = len(rows)
 
         def predict(batches):
             for b in batches:
-                t = np.column_stack([b.column(1).to_numpy(), b.column(2).to_numpy()])
-                est = kernel_values(p.kernel, np.linalg.norm(t[:, None] - rows[None, :, :2], axis=2), p.epsilon) @ w[:n]
+                t = np.column_stack([b.column(1 + i).to_numpy() for i in range(len(axes))])
+                est = kernel_values(p.kernel, np.linalg.norm(t[:, None] - places[None], axis=2), p.epsilon) @ w[:n]
                 if p.degree >= 0:
-                    est += (np.column_stack([np.ones(len(t)), t]) if p.degree else np.ones((len(t), 1))) @ w[n:]
+                    est += _terms(t, p.degree) @ w[n:]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(est)], ["id", "estimate"])
 
-        return targets.select("id", "x", "y").mapInArrow(predict, "id long, estimate double")
-    found = with_fallback(targets, points, search.max_points, search.radius, search.min_points, keep=("x", "y", "value"))
-    near = found.groupBy(F.col("qid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "x", "y", "value"))).alias("near"))
-    rows = targets.select("id", F.col("x").alias("tx"), F.col("y").alias("ty")).join(near, "id", "left").select("id", "tx", "ty", F.col("near.x").alias("nx"), F.col("near.y").alias("ny"), F.col("near.value").alias("nv"))
+        return targets.select("id", *axes).mapInArrow(predict, "id long, estimate double")
 
     def solve(places, values, targets):
-        out = [float(kernel_values(p.kernel, np.linalg.norm(a - t, axis=1), p.epsilon) @ _rbf_solve(a, v, Rbf(p.kernel, p.epsilon, p.regularization, -1))) for a, v, t in zip(places, values, targets)]
-        return np.array(out), np.zeros(len(out))
+        gap = np.linalg.norm(places[:, :, None] - places[:, None], axis=3)
+        phi = kernel_values(p.kernel, gap, p.epsilon) + p.regularization * np.eye(places.shape[1])
+        w = np.linalg.solve(phi, values[:, :, None])[:, :, 0]
+        near = kernel_values(p.kernel, np.linalg.norm(places - targets[:, None], axis=2), p.epsilon)
+        return (near * w).sum(1), np.zeros(len(w))
 
+    rows = _gathered(points, targets, search, axes)
     return rows.mapInArrow(lambda batches: (_local_batch(b, solve, mean, 0.0, 0.0) for b in batches), "id long, estimate double, variance double").select("id", "estimate")
 
 

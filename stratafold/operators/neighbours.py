@@ -50,7 +50,8 @@ def ranked(found: DataFrame, k: int | None = None, by: Sequence[str] = ("qid",))
 
 
 def nearest_join(queries: DataFrame, points: DataFrame, k: int, axes: Sequence[str] = ("x", "y"), other: bool = False, keep: Sequence[str] = ("value",), rounds: int = 40) -> DataFrame:
-    """The k nearest points of each query without a radius: (qid, nid, dist, kept columns, rank)."""
+    """The k nearest points of each query without a radius: (qid, nid, dist, kept columns, rank). Rows with a null or NaN coordinate are no points and find none."""
+    queries, points = (df.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in axes))) for df in (queries, points))
     ends = points.agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{f.__name__}") for c in axes for f in (F.min, F.max))).first()
     n = ends["n"]
     want = min(k, n - 1 if other else n)
@@ -72,7 +73,7 @@ def nearest_join(queries: DataFrame, points: DataFrame, k: int, axes: Sequence[s
         gap = F.sqrt(reduce(lambda a, b: a + b, (F.pow(F.greatest(F.abs(F.col(c) - F.col(f"_{c}_min")), F.abs(F.col(c) - F.col(f"_{c}_max"))), F.lit(2.0)) for c in axes)))
         if size > reach:
             size = max(size, far.agg(F.max(gap)).first()[0] * 1.0001 + 1e-9)
-    return out
+    raise RuntimeError(f"{left.count()} queries have not found {want} neighbours in {rounds} rounds")
 
 
 def radius_nearest(queries: DataFrame, points: DataFrame, k: int, radius: float, axes: Sequence[str] = ("x", "y"), strict: bool = True, other: bool = False, keep: Sequence[str] = ("value",)) -> DataFrame:
@@ -96,12 +97,20 @@ def sector_join(queries: DataFrame, points: DataFrame, radius: float, sectors: i
     return ranked(found, per_sector, ("qid", "sector")).select("qid", "nid", "dist", *keep, "sector", "rank")
 
 
-def interval_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Half-open intervals (from, to) of one key that overlap, with the length of the overlap."""
-    a, b = left.alias("a"), right.alias("b")
-    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.from") < F.col("b.to")) & (F.col("a.to") > F.col("b.from"))
+def interval_join(left: DataFrame, right: DataFrame, key: str, bin_: float | None = None) -> DataFrame:
+    """Half-open intervals (from, to) of one key that overlap, with the length of the overlap.
+
+    Intervals are dealt to bins of the depth, so a long hole is many keys; a pair meets in each bin it shares and counts
+    in the first. Without ``bin_`` a bin is four times the mean length of the right side's intervals.
+    """
+    if bin_ is None:
+        bin_ = (right.where(F.col("to") > F.col("from")).agg(F.avg(F.col("to") - F.col("from"))).first()[0] or 1.0) * 4
+    low = lambda side: F.floor(F.col(f"{side}.from") / bin_)
+    dealt = lambda df: df.where(F.col("to") > F.col("from")).withColumn("_bin", F.explode(F.sequence(F.floor(F.col("from") / bin_), F.greatest(F.floor(F.col("from") / bin_), F.ceil(F.col("to") / bin_) - 1))))
+    a, b = dealt(left).alias("a"), dealt(right).alias("b")
+    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._bin") == F.col("b._bin")) & (F.col("a.from") < F.col("b.to")) & (F.col("a.to") > F.col("b.from"))
     overlap = F.least(F.col("a.to"), F.col("b.to")) - F.greatest(F.col("a.from"), F.col("b.from"))
-    return a.join(b, on).withColumn("overlap", overlap)
+    return a.join(b, on).where(F.col("a._bin") == F.greatest(low("a"), low("b"))).withColumn("overlap", overlap)
 
 
 def pairs(points: DataFrame, axes: Sequence[str] = ("x", "y"), keep: Sequence[str] = ("value",), most: float | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.operators.neighbours import nearest_join
+from stratafold.operators.ranks import order_quantiles
 from stratafold.operators.spatial import hull, trend
 from stratafold.operators.statistics import chi2_critical, t_critical
 from stratafold.session import reachable, settled
@@ -21,9 +22,9 @@ def _flag(df: DataFrame, test, method: str) -> DataFrame:
 
 def fences(points: DataFrame, factor: float = 1.5) -> DataFrame:
     """Values beyond so many interquartile ranges from the quartiles."""
-    q = F.broadcast(points.agg(F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.75).alias("q3")))
-    r = factor * (F.col("q3") - F.col("q1"))
-    return _flag(points.crossJoin(q), (F.col("value") < F.col("q1") - r) | (F.col("value") > F.col("q3") + r), f"iqr_{factor:g}")
+    q1, q3 = order_quantiles(points, "value", (0.25, 0.75))
+    r = factor * ((q3 or 0.0) - (q1 or 0.0))
+    return _flag(points, (F.col("value") < (q1 or 0.0) - r) | (F.col("value") > (q3 or 0.0) + r), f"iqr_{factor:g}")
 
 
 def z_scores(points: DataFrame, limit: float = 3.0) -> DataFrame:
@@ -33,10 +34,10 @@ def z_scores(points: DataFrame, limit: float = 3.0) -> DataFrame:
 
 def modified_z(points: DataFrame, limit: float = 3.5) -> DataFrame:
     """By median and median absolute deviation; none if that is 0."""
-    m = F.broadcast(points.agg(F.percentile("value", 0.5).alias("med")))
-    rows = points.crossJoin(m)
-    mad = F.broadcast(rows.agg(F.percentile(F.abs(F.col("value") - F.col("med")), F.lit(0.5)).alias("mad")))
-    return _flag(rows.crossJoin(mad), (F.col("mad") > 0) & (0.6745 * F.abs(F.col("value") - F.col("med")) > limit * F.col("mad")), f"modified_z_{limit:g}")
+    median = order_quantiles(points, "value", (0.5,))[0] or 0.0
+    away = F.abs(F.col("value") - median)
+    mad = order_quantiles(points.select(away.alias("away")), "away", (0.5,))[0] or 0.0
+    return _flag(points, F.lit(mad > 0) & (0.6745 * away > limit * mad), f"modified_z_{limit:g}")
 
 
 def grubbs(points: DataFrame, alpha: float = 0.05, block: int = 1000) -> DataFrame:

@@ -54,8 +54,21 @@ def running(df: DataFrame, value: str, by: Sequence[str], order: str) -> DataFra
 
 def quantile_strata(df: DataFrame, value: str, n: int) -> Column:
     """Stratum 0..n-1 of each value by the inner quantile bounds."""
-    bounds = df.agg(F.percentile(value, F.array(*(F.lit(i / n) for i in range(1, n))))).first()[0] or []
     out = F.lit(0)
-    for b in bounds:
+    for b in order_quantiles(df, value, [i / n for i in range(1, n)]):
         out = out + (F.col(value) >= b).cast("int")
     return out
+
+
+def order_quantiles(df: DataFrame, value: str, probabilities: Sequence[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation, by running counts of the different values over ranges: no buffer holds them all."""
+    counts = df.select(F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)").groupBy("_v").agg(F.count("*").alias("_c"))
+    total = running_total(counts, ["_v"], "_c", "_cum")
+    n = total.agg(F.max("_cum")).first()[0]
+    if not n:
+        return [None] * len(probabilities)
+    places = [(n - 1) * p for p in probabilities]
+    wanted = sorted({k for h in places for k in (int(h), min(int(h) + 1, n - 1))})
+    found = total.agg(*(F.min(F.when(F.col("_cum") > k, F.col("_v"))).alias(str(k)) for k in wanted)).first()
+    at = dict(zip(wanted, found))
+    return [at[int(h)] + (h - int(h)) * (at[min(int(h) + 1, n - 1)] - at[int(h)]) for h in places]

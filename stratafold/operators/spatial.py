@@ -147,7 +147,7 @@ def hull(points: DataFrame) -> DataFrame:
 
     reachable(points.sparkSession)
     first = points.select("x", "y").dropna().mapInArrow(part, "place long, x double, y double")
-    return first.select("x", "y").coalesce(1).mapInArrow(part, "place long, x double, y double")
+    return first.select("x", "y").repartition(1).mapInArrow(part, "place long, x double, y double")
 
 
 def hull_measures(points: DataFrame) -> DataFrame:

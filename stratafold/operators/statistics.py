@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratafold.functions.scalar import normal_cdf
-from stratafold.operators.ranks import numbered, running_total
+from stratafold.operators.ranks import numbered, order_quantiles, running_total
 
 PERCENTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
@@ -75,8 +75,8 @@ def bias_corrected_shape(df: DataFrame, value: str) -> DataFrame:
 def quantile_table(df: DataFrame, value: str) -> DataFrame:
     """(percent, quantile) of the standard percents, deciles and quintiles."""
     percents = sorted({*PERCENTS, *range(10, 100, 10), 20, 40, 60, 80})
-    q = _clean(df, value).agg(quantiles("v", [p / 100 for p in percents]).alias("q"))
-    return q.select(F.posexplode("q").alias("i", "quantile")).select(F.get(F.array(*map(F.lit, percents)), F.col("i")).cast("long").alias("percent"), "quantile")
+    found = order_quantiles(df, value, [p / 100 for p in percents])
+    return df.sparkSession.createDataFrame(list(zip(percents, found)), "percent long, quantile double")
 
 
 def variability(df: DataFrame, value: str) -> DataFrame:
@@ -120,7 +120,8 @@ def extremes(df: DataFrame, value: str, k: int = 5) -> DataFrame:
 def outlier_counts(df: DataFrame, value: str) -> DataFrame:
     """Counts by 1.5 and 3 interquartile ranges, by |z| over 2 and 3 (population deviation), and the largest |z|."""
     v = _clean(df, value)
-    s = v.agg(F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.75).alias("q3"), F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
+    q1, q3 = order_quantiles(v, "v", (0.25, 0.75))
+    s = v.agg(F.lit(q1).cast("double").alias("q1"), F.lit(q3).cast("double").alias("q3"), F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
     z = F.abs(F.try_divide(F.col("v") - F.col("m"), F.col("sd")))
     iqr = F.col("q3") - F.col("q1")
     out = lambda f: F.count_if((F.col("v") < F.col("q1") - f * iqr) | (F.col("v") > F.col("q3") + f * iqr))
@@ -199,7 +200,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 def box(df: DataFrame, value: str) -> DataFrame:
     """Quartiles, and whiskers at the last values within 1.5 interquartile ranges."""
     v = _clean(df, value)
-    q = v.agg(F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.75).alias("q3"))
+    q = df.sparkSession.createDataFrame([tuple(order_quantiles(v, "v", (0.25, 0.5, 0.75)))], "q1 double, median double, q3 double")
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col("v") >= F.col("q1") - 1.5 * iqr) & (F.col("v") <= F.col("q3") + 1.5 * iqr)
     return v.crossJoin(F.broadcast(q)).groupBy("q1", "median", "q3").agg(F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"), F.count_if(~inside).alias("n_outliers"))

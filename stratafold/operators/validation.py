@@ -31,8 +31,8 @@ def normal(*keys) -> Column:
 
 
 def folds(points: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
-    """Even folds of shuffled points."""
-    rows = numbered(points.withColumn("_h", F.xxhash64(F.lit(seed), "id")), ["_h", "id"], "_row")
+    """Even folds of points shuffled by the MD5 of seed and id."""
+    rows = numbered(points.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col("id")).cast("binary"))), ["_h", "id"], "_row")
     return rows.withColumn("fold", ((F.col("_row") - 1) % n).cast("long")).drop("_h", "_row")
 
 
@@ -48,9 +48,11 @@ def spatial_folds(points: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
 
 def stratified_folds(points: DataFrame, n: int = 5, strata: int = 5, seed: int = 42) -> DataFrame:
     """Each stratum of values is dealt to the folds in turn."""
-    rows = points.withColumn("stratum", quantile_strata(points, "value", strata).cast("long"))
-    order = W.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    return rows.withColumn("fold", ((F.row_number().over(order) - 1) % n).cast("long"))
+    rows = points.withColumn("stratum", quantile_strata(points, "value", strata).cast("long")).withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col("id")).cast("binary")))
+    # numbered over ranges of (stratum, hash), less the rows of the strata before: no stratum is one task
+    placed = numbered(rows, ["stratum", "_h", "id"], "_row")
+    first = F.broadcast(placed.groupBy("stratum").agg(F.min("_row").alias("_first")))
+    return placed.join(first, "stratum").withColumn("fold", ((F.col("_row") - F.col("_first")) % n).cast("long")).drop("_h", "_row", "_first")
 
 
 def buffered(points: DataFrame, fold: int, distance: float) -> DataFrame:
@@ -157,11 +159,11 @@ def sobol(evaluate, ranges: dict[str, tuple[float, float]], n: int = 64, seed: i
     a, b = (low + rng.random((n, len(names))) * (high - low) for _ in range(2))
     run = lambda m: np.array([evaluate(dict(zip(names, row))) for row in m])
     ya, yb = run(a), run(b)
-    var = np.var(np.concatenate([ya, yb])) or 1.0
+    var, middle = np.var(np.concatenate([ya, yb])) or 1.0, np.mean(np.concatenate([ya, yb]))
     out = {}
     for i, k in enumerate(names):
         m = a.copy()
         m[:, i] = b[:, i]
         y = run(m)
-        out[k] = {"first": float(np.mean(yb * (y - ya)) / var), "total": float(np.mean((ya - y) ** 2) / (2 * var))}
+        out[k] = {"first": float(np.mean((yb - middle) * (y - ya)) / var), "total": float(np.mean((ya - y) ** 2) / (2 * var))}
     return out

@@ -63,12 +63,12 @@ def _(s, d):
 
 @register("rbf_random")
 def _(s, d):
-    return tuning.rbf_random(vector_points(s, d), 24)
+    return tuning.rbf_random(vector_points(s, d))
 
 
 @register("rbf_evolution")
 def _(s, d):
-    return tuning.rbf_evolution(vector_points(s, d), generations=2, population=5)
+    return tuning.rbf_evolution(vector_points(s, d))
 
 
 @register("silhouettes")
@@ -78,7 +78,7 @@ def _(s, d):
 
 @register("density_search")
 def _(s, d):
-    return tuning.density_search(vector_points(s, d), (0.5, 1.0), (3, 5))
+    return tuning.density_search(vector_points(s, d))
 
 
 @register("kriging_folds")
@@ -93,7 +93,7 @@ def _(s, d):
 
 @register("bootstrap_metric")
 def _(s, d):
-    return tuning.bootstrap_metric(vector_points(s, d), replicates=20, search=_EMS)
+    return tuning.bootstrap_metric(vector_points(s, d), search=_EMS)
 
 
 @register("ensemble_summary")

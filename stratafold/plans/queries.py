@@ -387,7 +387,7 @@ def _(s, d):
 
 @register("rbf_shape")
 def _(s, d):
-    return interpolate.rbf_shape(vector_points(s, d), candidates=8)
+    return interpolate.rbf_shape(vector_points(s, d))
 
 
 # --- compositing and declustering ------------------------------------------------------------------------------------
@@ -580,9 +580,10 @@ def _(s, d):
     return outliers.mahalanobis(vector_points(s, d), 0.1, ("x", "y"))
 
 
-@register("outliers_grubbs")
+@register("outliers_grubbs", "SELECT p_partkey AS id, 'grubbs' AS method FROM part WHERE p_partkey % 500 = 0")
 def _(s, d):
-    return outliers.grubbs(vector_points(s, d))
+    """With values of which some are far out."""
+    return outliers.grubbs(part_points(s, d).withColumn("value", F.when(F.col("id") % 500 == 0, F.col("value") * 50).otherwise(F.col("value"))))
 
 
 @register("outliers_edge")
@@ -666,12 +667,12 @@ def _(s, d):
 
 @register("bootstrap")
 def _(s, d):
-    return validation.bootstrap_idw(vector_points(s, d), grid.regular(s, _NODES), 50, _EMS)
+    return validation.bootstrap_idw(vector_points(s, d), grid.regular(s, _NODES), search=_EMS)
 
 
 @register("monte_carlo")
 def _(s, d):
-    return validation.monte_carlo_idw(vector_points(s, d), grid.regular(s, _NODES), 0.05, 50, _EMS)
+    return validation.monte_carlo_idw(vector_points(s, d), grid.regular(s, _NODES), 0.05, search=_EMS)
 
 
 @register("distance_uncertainty")

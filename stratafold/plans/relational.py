@@ -84,12 +84,12 @@ def _(s, d):
 
 @register("rbf_search")
 def _(s, d):
-    return more.rbf_search(vector_points(s, d), candidates=3)
+    return more.rbf_search(vector_points(s, d))
 
 
 @register("shapiro")
 def _(s, d):
-    w, p = more.shapiro(part_points(s, d), "value")
+    w, p = more.shapiro(table(s, d, "nation").withColumn("value", F.col("n_nationkey") * F.col("n_nationkey")), "value")
     return s.createDataFrame([(w, p)], "w double, p double")
 
 
@@ -103,9 +103,10 @@ def _(s, d):
     return more.spatial_bootstrap(vector_points(s, d), 0.05).groupBy("rep").agg(F.count("*").alias("n"))
 
 
-@register("method_checks")
+@register("method_checks", "SELECT * FROM (VALUES ('error', 'few points for a variogram'), ('warning', 'a trend')) t(level, rule)")
 def _(s, d):
-    return more.method_checks(vector_points(s, d), "kriging")
+    r = F.col("r_regionkey").cast("double")
+    return more.method_checks(table(s, d, "region").select(r.alias("x"), (r * r).alias("y"), (2 * r).alias("value")), "kriging")
 
 
 @register("fold_variability")
