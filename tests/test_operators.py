@@ -89,8 +89,8 @@ def test_rbf_exact_plane_and_errors(spark):
     plane = points(spark, [(i, j, i + j) for i in range(5) for j in range(5)])
     assert interpolate.rbf(plane, points(spark, [(1.5, 2.25, 0)]), Rbf("thin_plate", degree=1)).first().estimate == pytest.approx(3.75, abs=1e-6)
     assert interpolate.rbf(plane, points(spark, [(1.5, 2.25, 0)]), Rbf("thin_plate"), Search(radius=9, max_points=9)).first().estimate == pytest.approx(3.75, rel=0.1)
-    with pytest.raises(NotImplementedError):
-        interpolate.rbf(p, p, Rbf(degree=2)).collect()
+    squares = points(spark, [(i, j, i * i + j) for i in range(5) for j in range(5)])
+    assert interpolate.rbf(squares, points(spark, [(1.5, 2.25, 0)]), Rbf("thin_plate", degree=2)).first().estimate == pytest.approx(4.5, abs=1e-6)
 
 
 def test_leave_one_out_shape_matches_refits(spark, field):
