@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.operators.ranks import average_ranks
+from stratafold.operators.ranks import average_ranks_of
 
 
 def _tidy(df: DataFrame, columns: Sequence[str], value) -> DataFrame:
@@ -33,8 +33,10 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson of average ranks, over rows complete in all columns."""
     rows = df.dropna(subset=list(columns))
+    known = average_ranks_of(rows, columns)
     for c in columns:
-        rows = average_ranks(rows, c, f"_rank_{c}")
+        own = known.where(F.col("_column") == c).select(F.col("_value").alias(c), F.col("_rank").alias(f"_rank_{c}"))
+        rows = rows.withColumn(c, F.col(c).cast("double")).join(own, c)
     return _tidy(rows.select(*(F.col(f"_rank_{c}").alias(c) for c in columns)), columns, F.corr)
 
 

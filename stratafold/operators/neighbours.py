@@ -20,6 +20,10 @@ from stratafold.functions.scalar import sector
 from stratafold.session import settled
 
 
+#: Points of a cell, as a multiple of the neighbours wanted, from which on cells are made smaller, and how often.
+CROWDED, CROWDED_ROUNDS = 32, 8
+
+
 def distance(axes: Sequence[str], one: str = "q", two: str = "n") -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, (F.pow(F.col(f"{one}.{c}") - F.col(f"{two}.{c}"), F.lit(2.0)) for c in axes)))
 
@@ -33,12 +37,12 @@ def _celled(points: DataFrame, axes: Sequence[str], size: float, spread: bool) -
     return points
 
 
-def radius_join(queries: DataFrame, points: DataFrame, radius: float, axes: Sequence[str] = ("x", "y"), strict: bool = False, other: bool = False, keep: Sequence[str] = ("value",)) -> DataFrame:
-    """(qid, nid, dist and the kept columns of the neighbour) for pairs within the radius; ``other`` leaves out equal ids."""
-    q = _celled(queries.select("id", *axes), axes, radius, True).alias("q")
-    n = _celled(points.select("id", *axes, *keep), axes, radius, False).alias("n")
+def radius_join(queries: DataFrame, points: DataFrame, radius: float, axes: Sequence[str] = ("x", "y"), strict: bool = False, other: bool = False, keep: Sequence[str] = ("value",), carry: Sequence[str] = ()) -> DataFrame:
+    """(qid, nid, dist, the kept columns of the neighbour and the carried ones of the query, as q_name) for pairs within the radius; ``other`` leaves out equal ids."""
+    q = _celled(queries.select("id", *dict.fromkeys((*axes, *carry))), axes, radius, True).alias("q")
+    n = _celled(points.select("id", *dict.fromkeys((*axes, *keep))), axes, radius, False).alias("n")
     on = reduce(lambda a, b: a & b, (F.col(f"q._cell_{c}") == F.col(f"n._cell_{c}") for c in axes))
-    found = q.join(n, on).select(F.col("q.id").alias("qid"), F.col("n.id").alias("nid"), distance(axes).alias("dist"), *(F.col(f"n.{c}").alias(c) for c in keep))
+    found = q.join(n, on).select(F.col("q.id").alias("qid"), F.col("n.id").alias("nid"), distance(axes).alias("dist"), *(F.col(f"n.{c}").alias(c) for c in keep), *(F.col(f"q.{c}").alias(f"q_{c}") for c in carry))
     found = found.where(F.col("dist") < radius if strict else F.col("dist") <= radius)
     return found.where("qid <> nid") if other else found
 
@@ -61,6 +65,12 @@ def nearest_join(queries: DataFrame, points: DataFrame, k: int, axes: Sequence[s
     size = (area * 2.0 * max(want, 1) / max(n, 1)) ** (1 / len(full)) or 1.0
     out, left = None, queries.select("id", *axes)
     reach = reduce(lambda a, b: a + b, (s * s for s in spans)) ** 0.5
+    # smaller cells while one of them is crowded, as with clusters or a far point
+    for _ in range(CROWDED_ROUNDS):
+        full_cell = points.groupBy(*(F.floor(F.col(c) / size) for c in axes)).count().agg(F.max("count")).first()[0] or 0
+        if full_cell <= max(CROWDED * want, CROWDED):
+            break
+        size *= (max(CROWDED * want, CROWDED) / (4 * full_cell)) ** (1 / len(full))
     for _ in range(rounds):
         found = ranked(radius_join(left, points, size, axes, other=other, keep=keep), want)
         done = settled(found.withColumn("_n", F.count("*").over(W.partitionBy("qid"))).where(F.col("_n") >= want).drop("_n"))
@@ -116,10 +126,9 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, bin_: float | Non
 def pairs(points: DataFrame, axes: Sequence[str] = ("x", "y"), keep: Sequence[str] = ("value",), most: float | None = None) -> DataFrame:
     """Each pair of different points once, smaller id first; with ``most``, by cells and only up to that distance."""
     if most is not None:
-        out = radius_join(points, points, most, axes, other=True, keep=()).where("qid < nid").select(F.col("qid").alias("i"), F.col("nid").alias("j"), "dist")
-        one = points.select(F.col("id").alias("i"), *(F.col(c).alias(f"{c}_i") for c in (*axes, *keep)))
-        two = points.select(F.col("id").alias("j"), *(F.col(c).alias(f"{c}_j") for c in (*axes, *keep)))
-        return out.join(one, "i").join(two, "j")
+        both = tuple(dict.fromkeys((*axes, *keep)))
+        out = radius_join(points, points, most, axes, keep=both, carry=both).where("qid < nid")
+        return out.select(F.col("qid").alias("i"), F.col("nid").alias("j"), "dist", *(F.col(f"q_{c}").alias(f"{c}_i") for c in both), *(F.col(c).alias(f"{c}_j") for c in both))
     q, n = points.alias("q"), points.alias("n")
     columns = [F.col(f"{s}.{c}").alias(f"{c}_{t}") for c in (*axes, *keep) for s, t in (("q", "i"), ("n", "j"))]
     return q.join(n, F.col("q.id") < F.col("n.id")).select(F.col("q.id").alias("i"), F.col("n.id").alias("j"), distance(axes).alias("dist"), *columns)

@@ -40,6 +40,15 @@ def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(total.select(column, (F.col("_cum") - (F.col("_c") - 1) / 2).alias(name)), column, "left")
 
 
+def average_ranks_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(_column, _value, _rank): mean ranks of the different values of several columns, all by one range sort of their counts."""
+    stacked = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns))).alias("s")
+    counts = df.select(stacked).where("s.v is not null").groupBy(F.col("s.c").alias("_column"), F.col("s.v").alias("_value")).agg(F.count("*").alias("_c"))
+    total = settled(running_total(counts, ["_column", "_value"], "_c", "_cum"))
+    first = F.broadcast(total.groupBy("_column").agg(F.min(F.col("_cum") - F.col("_c")).alias("_first")))
+    return total.join(first, "_column").select("_column", "_value", (F.col("_cum") - F.col("_first") - (F.col("_c") - 1) / 2).alias("_rank"))
+
+
 def forward_fill(df: DataFrame, columns: Sequence[str], order: str, by: Sequence[str] = ()) -> DataFrame:
     """Nulls take the last value before them in the order."""
     window = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)

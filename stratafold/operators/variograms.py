@@ -12,32 +12,34 @@ from stratafold.operators.interpolate import model_values
 from stratafold.operators.neighbours import pairs
 
 
+def _lagged(near: DataFrame, max_distance: float, lags: int, tolerance: float, *by: str) -> DataFrame:
+    width = max_distance / lags
+    spread = int(tolerance) + 1
+    base = F.floor(F.col("dist") / width)
+    lag = F.explode(F.array(*(base + k for k in range(-spread, spread + 1)))).alias("lag")
+    rows = near.select(*by, "dist", ((F.col("value_i") - F.col("value_j")) ** 2 / 2).alias("g"), lag)
+    inside = (F.col("lag") >= 0) & (F.col("lag") < lags) & (F.col("dist") >= F.col("lag") * width - tolerance * width) & (F.col("dist") < (F.col("lag") + 1) * width + tolerance * width)
+    out = rows.where(inside).groupBy(*by, "lag").agg(F.avg("g").alias("gamma"), F.count("*").alias("n_pairs"))
+    return out.select(F.col("lag").cast("long").alias("lag"), ((F.col("lag") + 0.5) * width).alias("h"), "gamma", "n_pairs", *by)
+
+
 def experimental(points: DataFrame, max_distance: float, lags: int = 15, tolerance: float = 0.5, direction: float | None = None, direction_tolerance: float = 22.5) -> DataFrame:
     """(lag, h, gamma, n_pairs). Lag i takes distances in [i L - t L, (i+1) L + t L), so neighbouring lags overlap; its h is the middle; empty lags are left out.
 
     Pairs come from a cell join up to the last lag's end, and only their sums per lag are shuffled.
     """
-    width = max_distance / lags
-    near = pairs(points, most=max_distance + tolerance * width)
+    near = pairs(points, most=max_distance + tolerance * max_distance / lags)
     if direction is not None:
         near = near.where(in_direction(azimuth(F.col("x_j") - F.col("x_i"), F.col("y_j") - F.col("y_i")), direction, direction_tolerance))
-    spread = int(tolerance) + 1
-    base = F.floor(F.col("dist") / width)
-    lag = F.explode(F.array(*(base + k for k in range(-spread, spread + 1)))).alias("lag")
-    rows = near.select("dist", ((F.col("value_i") - F.col("value_j")) ** 2 / 2).alias("g"), lag)
-    inside = (F.col("lag") >= 0) & (F.col("lag") < lags) & (F.col("dist") >= F.col("lag") * width - tolerance * width) & (F.col("dist") < (F.col("lag") + 1) * width + tolerance * width)
-    out = rows.where(inside).groupBy("lag").agg(F.avg("g").alias("gamma"), F.count("*").alias("n_pairs"))
-    return out.select(F.col("lag").cast("long").alias("lag"), ((F.col("lag") + 0.5) * width).alias("h"), "gamma", "n_pairs")
-
-
-def directional(points: DataFrame, max_distance: float, lags: int = 15, directions: int = 4) -> DataFrame:
-    """The experimental variogram of equally spaced directions in [0, 180)."""
-    out = None
-    for i in range(directions):
-        angle = 180.0 * i / directions
-        part = experimental(points, max_distance, lags, direction=angle).withColumn("direction", F.lit(angle))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _lagged(near, max_distance, lags, tolerance)
+
+
+def directional(points: DataFrame, max_distance: float, lags: int = 15, directions: int = 4, tolerance: float = 0.5, direction_tolerance: float = 22.5) -> DataFrame:
+    """The experimental variogram of equally spaced directions in [0, 180); pairs are joined once for all of them."""
+    near = pairs(points, most=max_distance + tolerance * max_distance / lags).withColumn("_a", azimuth(F.col("x_j") - F.col("x_i"), F.col("y_j") - F.col("y_i")))
+    angles = F.array(*(F.lit(180.0 * i / directions) for i in range(directions)))
+    near = near.withColumn("direction", F.explode(F.filter(angles, lambda a: in_direction(F.col("_a"), a, direction_tolerance))))
+    return _lagged(near, max_distance, lags, tolerance, "direction")
 
 
 def default_distance(points: DataFrame, share: float = 0.75) -> float:
