@@ -201,6 +201,8 @@ def shared_folder(spark) -> str:
         import tempfile
 
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = known.get() if known.isDefined() else f"file://{tempfile.mkdtemp(prefix='stratafold-')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
