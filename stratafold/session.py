@@ -18,6 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
             return context.getCheckpointDir().get()
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='stratafold-')}"
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
