@@ -69,15 +69,45 @@ def quantile_strata(df: DataFrame, value: str, n: int) -> Column:
     return out
 
 
+#: Accuracy of the sketch that brackets an order statistic before it is found exactly.
+SKETCH = 10_000
+
+
 def order_quantiles(df: DataFrame, value: str, probabilities: Sequence[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation, by running counts of the different values over ranges: no buffer holds them all."""
-    counts = df.select(F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)").groupBy("_v").agg(F.count("*").alias("_c"))
-    total = running_total(counts, ["_v"], "_c", "_cum")
-    n = total.agg(F.max("_cum")).first()[0]
+    """Exact quantiles with linear interpolation, without a buffer of all values.
+
+    A sketch brackets each one; only values within brackets are counted, sorted by range and numbered, from the exact
+    number of values below the bracket on. Should a bracket miss its place, all values are numbered.
+    """
+    v = df.select(F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    near = [min(max(p + e, 0.0), 1.0) for p in probabilities for e in (-2 / SKETCH, 2 / SKETCH)]
+    n, sketch = v.agg(F.count("*"), F.percentile_approx("_v", near, SKETCH)).first()
     if not n:
         return [None] * len(probabilities)
-    places = [(n - 1) * p for p in probabilities]
-    wanted = sorted({k for h in places for k in (int(h), min(int(h) + 1, n - 1))})
-    found = total.agg(*(F.min(F.when(F.col("_cum") > k, F.col("_v"))).alias(str(k)) for k in wanted)).first()
-    at = dict(zip(wanted, found))
-    return [at[int(h)] + (h - int(h)) * (at[min(int(h) + 1, n - 1)] - at[int(h)]) for h in places]
+    brackets = [(float("-inf") if near[2 * i] <= 0 else sketch[2 * i], float("inf") if near[2 * i + 1] >= 1 else sketch[2 * i + 1]) for i in range(len(probabilities))]
+    out = _selected(v, n, probabilities, brackets)
+    return out or _selected(v, n, probabilities, [(float("-inf"), float("inf"))] * len(probabilities))
+
+
+def _selected(v: DataFrame, n: int, probabilities: Sequence[float], brackets: list[tuple[float, float]]) -> list[float] | None:
+    """The quantiles if each one's places lie within its bracket."""
+    at = F.col("_v")
+    inside = F.lit(False)
+    for lo, hi in set(brackets):
+        inside = inside | at.between(lo, hi)
+    below = v.agg(*(F.count_if(at < lo) for lo, _ in brackets)).first()
+    total = running_total(v.where(inside).groupBy("_v").agg(F.count("*").alias("_c")), ["_v"], "_c", "_cum")
+    gaps = total.agg(*(F.coalesce(F.sum(F.when(at < lo, F.col("_c"))), F.lit(0)) for lo, _ in brackets)).first()
+    wanted = []
+    for p, under, less in zip(probabilities, below, gaps):
+        k = int((n - 1) * p)
+        wanted += [(k, under, less), (min(k + 1, n - 1), under, less)]
+    # a value's place among all is its place among the bracketed ones, less those below its bracket, plus all below it
+    picks = [F.min(F.when(F.col("_cum") - less + under > k, F.struct(at, F.col("_cum") - F.col("_c") - less + under))) for k, under, less in wanted]
+    found = total.agg(*(c.alias(str(i)) for i, c in enumerate(picks))).first()
+    values = []
+    for (k, under, _), (lo, hi), r in zip(wanted, [b for b in brackets for _ in range(2)], found):
+        if r is None or r[1] > k or not lo <= r[0] <= hi or k < under:
+            return None
+        values.append(r[0])
+    return [values[2 * i] + ((n - 1) * p - int((n - 1) * p)) * (values[2 * i + 1] - values[2 * i]) for i, p in enumerate(probabilities)]
