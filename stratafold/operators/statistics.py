@@ -28,12 +28,13 @@ def _clean(df: DataFrame, value: str) -> DataFrame:
 def descriptive(df: DataFrame, value: str) -> DataFrame:
     """Count, mean, median, smallest mode, sample deviation and variance, extremes, MAD, harmonic and geometric mean."""
     v = _clean(df, value)
-    median = v.agg(F.percentile("v", 0.5).alias("med"))
+    median = order_quantiles(v, "v", (0.5,))[0]
+    mad = order_quantiles(v.select(F.abs(F.col("v") - F.lit(median)).alias("d")), "d", (0.5,))[0]
     positive = F.min("v") > 0
-    return v.crossJoin(F.broadcast(median)).agg(
+    return v.agg(
         F.count("*").alias("count"),
         F.avg("v").alias("mean"),
-        F.max("med").alias("median"),
+        F.lit(median).cast("double").alias("median"),
         F.mode("v", True).alias("mode"),
         F.stddev_samp("v").alias("std"),
         F.var_samp("v").alias("variance"),
@@ -41,7 +42,7 @@ def descriptive(df: DataFrame, value: str) -> DataFrame:
         F.max("v").alias("max"),
         (F.max("v") - F.min("v")).alias("range"),
         F.sum("v").alias("sum"),
-        F.percentile(F.abs(F.col("v") - F.col("med")), F.lit(0.5)).alias("mad"),
+        F.lit(mad).cast("double").alias("mad"),
         F.when(positive, F.count("*") / F.sum(F.when(F.col("v") > 0, 1 / F.col("v")))).alias("harmonic_mean"),
         F.when(positive, F.exp(F.avg(F.when(F.col("v") > 0, F.log("v"))))).alias("geometric_mean"),
     )
@@ -82,11 +83,14 @@ def quantile_table(df: DataFrame, value: str) -> DataFrame:
 def variability(df: DataFrame, value: str) -> DataFrame:
     """Coefficients of variation and dispersion."""
     v = _clean(df, value)
-    first = v.agg(F.avg("v").alias("m"), F.percentile("v", 0.5).alias("med"), F.percentile("v", 0.25).alias("q1"), F.percentile("v", 0.75).alias("q3"))
+    q1, median, q3 = order_quantiles(v, "v", (0.25, 0.5, 0.75))
+    mad = order_quantiles(v.select(F.abs(F.col("v") - F.lit(median)).alias("d")), "d", (0.5,))[0]
+    number = lambda x: F.lit(x).cast("double")
+    first = v.agg(F.avg("v").alias("m"), number(median).alias("med"), number(q1).alias("q1"), number(q3).alias("q3"))
     both = v.crossJoin(F.broadcast(first))
     s = both.agg(
         F.stddev_samp("v").alias("sd"), F.max("m").alias("m"), F.max("med").alias("med"), F.max("q1").alias("q1"), F.max("q3").alias("q3"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.avg(F.abs(F.col("v") - F.col("m"))).alias("mean_abs_deviation"), F.percentile(F.abs(F.col("v") - F.col("med")), F.lit(0.5)).alias("mad"),
+        F.avg(F.abs(F.col("v") - F.col("m"))).alias("mean_abs_deviation"), number(mad).alias("mad"),
     )
     part = lambda a, b: F.try_divide(a, b)
     return s.select(
