@@ -20,6 +20,13 @@ def _flag(df: DataFrame, test, method: str) -> DataFrame:
     return df.where(test).select("id", F.lit(method).alias("method"))
 
 
+def _over(scores: DataFrame, column: str, share: float, method: str) -> DataFrame:
+    """Rows whose score is above its quantile; scores are settled, as finding an order statistic reads them several times."""
+    scores = settled(scores)
+    q = order_quantiles(scores, column, (share,))[0]
+    return _flag(scores, F.col(column) > F.lit(q).cast("double"), method)
+
+
 def fences(points: DataFrame, factor: float = 1.5) -> DataFrame:
     """Values beyond so many interquartile ranges from the quartiles."""
     q1, q3 = order_quantiles(points, "value", (0.25, 0.75))
@@ -124,7 +131,7 @@ def _peel(spark, low: list, high: list, middle: tuple[int, float, float], alpha:
 def distance(points: DataFrame, contamination: float = 0.1, k: int = 10) -> DataFrame:
     """Mean distance to the k nearest others above its 1 - contamination quantile."""
     d = settled(nearest_join(points, points, k, other=True, keep=()).groupBy(F.col("qid").alias("id")).agg(F.avg("dist").alias("d")))
-    return _flag(d.crossJoin(F.broadcast(d.agg(F.percentile("d", 1 - contamination).alias("q")))), F.col("d") > F.col("q"), "distance")
+    return _over(d, "d", 1 - contamination, "distance")
 
 
 def lof_scores(points: DataFrame, k: int = 20, axes=("x", "y")) -> DataFrame:
@@ -138,7 +145,7 @@ def lof_scores(points: DataFrame, k: int = 20, axes=("x", "y")) -> DataFrame:
 
 def local_factor(points: DataFrame, contamination: float = 0.1, k: int = 20, axes=("x", "y")) -> DataFrame:
     s = settled(lof_scores(points, k, axes))
-    return _flag(s.crossJoin(F.broadcast(s.agg(F.percentile("lof", 1 - contamination).alias("q")))), F.col("lof") > F.col("q"), "lof")
+    return _over(s, "lof", 1 - contamination, "lof")
 
 
 def residual(points: DataFrame, limit: float = 2.5) -> DataFrame:
@@ -151,7 +158,7 @@ def edge(points: DataFrame) -> DataFrame:
     """Corners of the convex hull, and points farther from the centroid than the 95th percentile."""
     c = F.broadcast(points.agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")))
     rows = points.crossJoin(c).withColumn("d", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")))
-    far = rows.crossJoin(F.broadcast(rows.agg(F.percentile("d", 0.95).alias("q")))).where("d > q").select("id")
+    far = _over(rows, "d", 0.95, "edge").select("id")
     return far.union(points.join(hull(points).select("x", "y"), ["x", "y"], "left_semi").select("id")).distinct().withColumn("method", F.lit("edge"))
 
 
@@ -194,7 +201,7 @@ def robust_distance(points: DataFrame, contamination: float = 0.1, axes=("x", "y
         if done:
             break
     d = settled(_squared(points, mean, cov, axes))
-    return _flag(d.crossJoin(F.broadcast(d.agg(F.percentile("d2", 1 - contamination).alias("q")))), F.col("d2") > F.col("q"), "robust_distance")
+    return _over(d, "d2", 1 - contamination, "robust_distance")
 
 
 def isolation(points: DataFrame, contamination: float = 0.1, axes=("x", "y", "value"), trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
@@ -236,7 +243,7 @@ def isolation(points: DataFrame, contamination: float = 0.1, axes=("x", "y", "va
 
     reachable(points.sparkSession)
     s = settled(points.select("id", *(F.col(a).cast("double").alias(a) for a in axes)).mapInArrow(scored, "id long, s double"))
-    return _flag(s.crossJoin(F.broadcast(s.agg(F.percentile("s", 1 - contamination).alias("q")))), F.col("s") > F.col("q"), "isolation")
+    return _over(s, "s", 1 - contamination, "isolation")
 
 
 def one_class(points: DataFrame, contamination: float = 0.1, axes=("x", "y", "value"), most: int = 100_000) -> DataFrame:

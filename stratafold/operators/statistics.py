@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stratafold.functions.scalar import normal_cdf
 from stratafold.operators.ranks import numbered, order_quantiles, running_total
+from stratafold.session import settled
 
 PERCENTS = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 
@@ -245,11 +246,13 @@ def error_metrics(df: DataFrame, actual: str = "actual", predicted: str = "predi
 def error_distribution(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """Centre, spread and tails of the errors, with shares within half, one and two root mean squares."""
     e = df.select((F.col(predicted) - F.col(actual)).alias("e")).where("e is not null")
+    e = settled(e)
+    q1, median, q3 = order_quantiles(e, "e", (0.25, 0.5, 0.75))
     size = F.broadcast(e.agg(F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("r")))
     within = lambda k: F.avg((F.abs("e") <= k * F.col("r")).cast("double"))
     return e.crossJoin(size).agg(
-        F.avg("e").alias("mean"), F.percentile("e", 0.5).alias("median"), F.stddev_samp("e").alias("std"), F.skewness("e").alias("skewness"), F.kurtosis("e").alias("kurtosis"),
-        (F.percentile("e", 0.75) - F.percentile("e", 0.25)).alias("iqr"), within(0.5).alias("within_half"), within(1.0).alias("within_one"), within(2.0).alias("within_two"), F.count_if(F.abs("e") > 3 * F.col("r")).alias("beyond_three"),
+        F.avg("e").alias("mean"), F.lit(median).cast("double").alias("median"), F.stddev_samp("e").alias("std"), F.skewness("e").alias("skewness"), F.kurtosis("e").alias("kurtosis"),
+        (F.lit(q3).cast("double") - F.lit(q1).cast("double")).alias("iqr"), within(0.5).alias("within_half"), within(1.0).alias("within_one"), within(2.0).alias("within_two"), F.count_if(F.abs("e") > 3 * F.col("r")).alias("beyond_three"),
     )
 
 
