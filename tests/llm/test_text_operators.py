@@ -491,6 +491,23 @@ def test_codec_round_trip(docs, empty):
     assert piece_codec.encode(empty).count() == 0
 
 
+def test_codec_sees_what_is_not_restored():
+    import pyarrow as pa
+
+    pieces = piece_codec.Pieces()
+    encoder = piece_codec.Encoder(pieces)
+    for texts in (["a b", "", "é字 x", "c"], ["a▁b", "plain text", " ", "\n"], [""], []):
+        raw = [t.encode() for t in texts]
+        block = kernels.Block(pa.array(texts, pa.string()))
+        ids, begin = encoder.encode(raw)
+        assert pieces.restores(ids, begin, block, raw).tolist() == [True] * len(texts)
+        for k in range(len(ids)):
+            other = ids.copy()
+            other[k] = ids[k] + 1 if ids[k] < 31_000 else 300
+            want = [pieces.decode(other[a:b].tolist()) == t.replace("▁", " ") for a, b, t in zip(begin[:-1], begin[1:], texts)]
+            assert pieces.restores(other, begin, block, raw).tolist() == want
+
+
 def licence_truth(t):
     w, hits = licences.normal_words(t), []
     for phrase, label in licences.BASE.items():
