@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
+import zipfile
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,6 +133,17 @@ def _(s, d):
         return settled(text.read_geological(s, f"{folder}/a.kml").drop("description"))
 
 
+@register("zipped_placemarks", f"SELECT n_name AS name, {R('n_nationkey', 'x')}, {R('n_regionkey', 'y')} FROM nation")
+def _(s, d):
+    marks = "".join(f"<Placemark><name>{r.n_name}</name><Point><coordinates>{r.n_nationkey},{r.n_regionkey}</coordinates></Point></Placemark>" for r in table(s, d, "nation").collect())
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as book:
+        book.writestr("doc.kml", f"<kml><Document>{marks}</Document></kml>")
+    with _folder(s) as folder:
+        sinks.put(s, f"{folder}/a.kmz", packed.getvalue())
+        return settled(text.read_geological(s, f"{folder}/a.kmz").select("name", "x", "y"))
+
+
 @register("shapes", f"SELECT CAST(n_nationkey AS BIGINT) AS record, 'Point' AS geometry_type, {R('n_nationkey / 2', 'x')}, {R('n_regionkey', 'y')} FROM nation")
 def _(s, d):
     rows = table(s, d, "nation").orderBy("n_nationkey").collect()

@@ -7,12 +7,16 @@ will do; the data themselves are read by Spark's sources.
 from __future__ import annotations
 
 import csv
+import io
 import re
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.operators.clean import NULL_TOKENS
+from stratafold.session import settled, shared_folder
 
 HEAD_BYTES = 10_000
 DELIMITERS = ",;\t|"
@@ -138,6 +142,26 @@ def read_kml(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("name", "description", "geometry_type", at(0).alias("x"), at(1).alias("y"), F.coalesce(at(2), F.lit(0.0)).alias("z"), F.size("v").cast("long").alias("vertex_count"))
 
 
+def read_kmz(spark: SparkSession, path: str) -> DataFrame:
+    """Placemarks of the first KML document of a zipped one, unpacked to the shared folder while it is read."""
+    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    book = zipfile.ZipFile(io.BytesIO(data))
+    name = next((n for n in book.namelist() if n.lower().endswith(".kml")), None)
+    if name is None:
+        raise ValueError(f"{path} holds no KML document")
+    plain = f"{shared_folder(spark).rstrip('/')}/kmz-{uuid.uuid4().hex}.kml"
+    p = spark._jvm.org.apache.hadoop.fs.Path(plain)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = files.create(p, True)
+    try:
+        stream.write(bytearray(book.read(name)))
+    finally:
+        stream.close()
+    out = settled(read_kml(spark, plain))
+    files.delete(p, False)
+    return out
+
+
 def read_project(spark: SparkSession, path: str) -> DataFrame:
     """Records of a JSON project: its ``data`` array as rows."""
     return spark.read.option("multiLine", True).json(path).select(F.explode("data").alias("r")).select("r.*")
@@ -164,7 +188,7 @@ def jdbc_url(kind: str, **c) -> str:
 def read_geological(spark: SparkSession, path: str) -> DataFrame:
     """A reader by extension."""
     kind = path.rsplit(".", 1)[-1].lower()
-    readers = {"las": read_las, "kml": read_kml, "csv": read_csv, "txt": read_csv, "tsv": read_csv, "json": read_project}
+    readers = {"las": read_las, "kml": read_kml, "kmz": read_kmz, "csv": read_csv, "txt": read_csv, "tsv": read_csv, "json": read_project}
     if kind in ("shp", "xlsx"):
         from stratafold.sources.binary import read_shp, read_xlsx
 
