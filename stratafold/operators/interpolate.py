@@ -9,6 +9,7 @@ GLOBAL_LIMIT points; beyond that use the local form.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stratafold.functions.scalar import anisotropy, idw_weight
 from stratafold.model import Kriging, Rbf, Search, Variogram
-from stratafold.operators.neighbours import nearest_join, radius_nearest, ranked, sector_join, with_fallback
+from stratafold.operators.neighbours import nearest_join, radius_nearest, sector_join, with_fallback
 from stratafold.session import reachable
 
 GLOBAL_LIMIT = 5000
@@ -51,24 +52,22 @@ def idw(points: DataFrame, targets: DataFrame, search: Search = Search(), power:
     return targets.select("id").join(idw_weighted(found, power, smoothing), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def idw_leave_one_out(points: DataFrame, search: Search = Search(), power: float = 2.0) -> DataFrame:
-    """(id, actual, predicted): each point estimated from the others; one self join instead of a fit per point."""
-    found = radius_nearest(points, points, search.max_points, search.radius, other=True)
+def idw_leave_one_out(points: DataFrame, search: Search = Search(), power: float = 2.0, found: DataFrame | None = None) -> DataFrame:
+    """(id, actual, predicted): each point estimated from the others; one self join instead of a fit per point. ``found``: the neighbours, where they are known."""
+    if found is None:
+        found = radius_nearest(points, points, search.max_points, search.radius, other=True)
     return points.select("id", F.col("value").alias("actual")).join(idw_weighted(found, power).select("id", F.col("estimate").alias("predicted")), "id", "left")
 
 
 def idw_folds(points: DataFrame, fold: str, search: Search = Search(), power: float = 2.0) -> DataFrame:
     """(id, fold, actual, predicted): each point estimated from the other folds, all folds in one join."""
-    near = radius_join_folds(points, fold, search)
-    found = ranked(near, search.max_points)
+    found = fold_nearest(points, fold, search)
     return points.select("id", fold, F.col("value").alias("actual")).join(idw_weighted(found, power).select("id", F.col("estimate").alias("predicted")), "id", "left")
 
 
-def radius_join_folds(points: DataFrame, fold: str, search: Search) -> DataFrame:
-    from stratafold.operators.neighbours import radius_join
-
-    near = radius_join(points, points, search.radius, strict=True, other=True, keep=("value", fold)).withColumnRenamed(fold, "_nf")
-    return near.join(points.select(F.col("id").alias("qid"), F.col(fold).alias("_qf")), "qid").where("_nf <> _qf").drop("_nf", "_qf")
+def fold_nearest(points: DataFrame, fold: str, search: Search, keep: Sequence[str] = ("value",)) -> DataFrame:
+    """The nearest neighbours of each point in other folds."""
+    return radius_nearest(points, points, search.max_points, search.radius, other=True, keep=keep, unlike=fold)
 
 
 def global_rows(points: DataFrame, axes=("x", "y")) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratafold.model import Kriging, Search, Variogram
-from stratafold.operators.interpolate import _krige, _local_batch, global_rows, kernel_values, radius_join_folds
-from stratafold.operators.neighbours import nearest_join, radius_join, ranked
+from stratafold.operators.interpolate import _krige, _local_batch, fold_nearest, global_rows, kernel_values
+from stratafold.operators.neighbours import nearest_join, radius_join, radius_nearest
 from stratafold.operators.spatial import dbscan
 from stratafold.operators.statistics import error_metrics
 from stratafold.operators.validation import poisson_count, uniform
@@ -139,9 +140,8 @@ def krige_folds(points: DataFrame, fold: str, model: Variogram, search: Search =
     """(id, fold, actual, predicted, variance): each point estimated by local kriging from the neighbours in other folds, all folds in one job."""
     reachable(points.sparkSession)
     mean = k.mean if k.mean is not None else (points.agg(F.avg("value")).first()[0] or 0.0)
-    found = ranked(radius_join_folds(points, fold, search), search.max_points)
-    places = points.select(F.col("id").alias("nid"), F.col("x").alias("px"), F.col("y").alias("py"))
-    near = found.join(places, "nid").groupBy(F.col("qid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "px", "py", "value"))).alias("near"))
+    found = fold_nearest(points, fold, search, ("x", "y", "value")).withColumnsRenamed({"x": "px", "y": "py"})
+    near = found.groupBy(F.col("qid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", "px", "py", "value"))).alias("near"))
     rows = points.select("id", F.col("x").alias("tx"), F.col("y").alias("ty")).join(near, "id", "left").select("id", "tx", "ty", "near.px", "near.py", F.col("near.value").alias("nv"))
     solve = lambda p, v, t: _krige(p, v, t, model, k, mean)
     estimates = rows.mapInArrow(lambda batches: (_local_batch(b, solve, mean, model.sill, model.nugget + model.sill) for b in batches), "id long, estimate double, variance double")
@@ -168,13 +168,28 @@ def bootstrap_metric(points: DataFrame, metric: Callable[[Column, Column], Colum
     In each replicate ``test_share`` of the points are estimated by inverse distance from the others, which count by
     Poisson numbers as in a resample with replacement.
     """
-    near = radius_join(points, points, search.radius, strict=True, other=True)
-    rep = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
+    usable = (1 - test_share) * (1 - exp(-1))
+    most = search.max_points
+    # so many neighbours that nearly always enough of them are in a replicate; where they are not, all within the radius are used
+    k = ceil((most + 6 * most**0.5 + 8) / max(usable, 1e-3))
+    near = settled(radius_nearest(points, points, k, search.radius, other=True))
     tested = lambda c: uniform(seed, F.lit("test"), F.col("rep"), F.col(c)) < test_share
-    rows = near.select("qid", "nid", "dist", "value", rep).where(tested("qid") & ~tested("nid"))
-    rows = rows.withColumn("count", poisson_count(uniform(seed, F.col("rep"), F.col("nid")))).where("count > 0")
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("qid", "rep").orderBy("dist", "nid"))).where(F.col("rank") <= search.max_points)
-    w = F.col("count") / F.pow(F.greatest("dist", F.lit(1e-10)), F.lit(float(power)))
-    each = rows.groupBy("qid", "rep").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("predicted"))
+    reps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
+
+    def estimates(near: DataFrame) -> DataFrame:
+        """(qid, rep, n, predicted). Rows of a point stay in one task from here on."""
+        rows = near.repartition("qid").select("qid", "nid", "dist", "value", reps).where(tested("qid") & ~tested("nid"))
+        rows = rows.withColumn("count", poisson_count(uniform(seed, F.col("rep"), F.col("nid")))).where("count > 0")
+        rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("qid", "rep").orderBy("dist", "nid"))).where(F.col("rank") <= most)
+        w = F.col("count") / F.pow(F.greatest("dist", F.lit(1e-10)), F.lit(float(power)))
+        return rows.groupBy("qid", "rep").agg(F.count("*").alias("n"), (F.sum(w * F.col("value")) / F.sum(w)).alias("predicted"))
+
+    each = settled(estimates(near))
+    full = near.groupBy("qid").count().where(F.col("count") >= k).select("qid")
+    short = settled(full.select("qid", reps).where(tested("qid")).join(each.where(F.col("n") >= most), ["qid", "rep"], "left_anti"))
+    if not short.isEmpty():
+        again = points.join(short.select(F.col("qid").alias("id")).distinct(), "id", "left_semi")
+        found = estimates(radius_join(again, points, search.radius, strict=True, other=True)).join(short, ["qid", "rep"], "left_semi")
+        each = each.join(short, ["qid", "rep"], "left_anti").unionByName(found)
     known = each.join(points.select(F.col("id").alias("qid"), F.col("value").alias("actual")), "qid")
     return known.groupBy("rep").agg(F.count("*").alias("n"), metric(F.col("actual"), F.col("predicted")).alias("metric"))
