@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from stratafold.model import Search
 from stratafold.operators.interpolate import idw_folds, idw_leave_one_out
-from stratafold.operators.neighbours import nearest_join, radius_join
+from stratafold.operators.neighbours import nearest_join, radius_join, radius_nearest
 from stratafold.operators.ranks import numbered, quantile_strata
 from stratafold.operators.statistics import error_metrics
+from stratafold.session import settled
 
 
 def uniform(*keys) -> Column:
@@ -79,10 +80,12 @@ def fold_variability(predictions: DataFrame) -> DataFrame:
 
 
 def compare(points: DataFrame, methods: dict[str, tuple[Search, float]]) -> DataFrame:
-    """(method, metrics) of several searches and powers, by leave one out."""
-    out = None
+    """(method, metrics) of several searches and powers, by leave one out; methods of one search share its neighbours."""
+    out, found = None, {}
     for name, (search, power) in methods.items():
-        part = leave_one_out(points, search, power).withColumn("method", F.lit(name))
+        if search not in found:
+            found[search] = settled(radius_nearest(points, points, search.max_points, search.radius, other=True))
+        part = error_metrics(idw_leave_one_out(points, search, power, found[search])).withColumn("method", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
