@@ -3,8 +3,9 @@
 Inverse distance is a join and an aggregation. Local kriging and local radial
 bases gather at most ``max_points`` neighbours per target by the same join and
 solve the small systems in Arrow batches, all systems of one size at once. The
-global forms factorise one system on the driver, which is why they take at most
-GLOBAL_LIMIT points; beyond that use the local form.
+global forms solve one system of all points: up to GLOBAL_LIMIT points in memory,
+beyond that by a factor in a file of the driver, if the system is positive definite
+once a constant is taken from it (kriging, the linear kernel).
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 
 from stratafold.functions.scalar import anisotropy, idw_weight
 from stratafold.model import Kriging, Rbf, Search, Variogram
+from stratafold.operators.dense import Factor
 from stratafold.operators.neighbours import nearest_join, radius_nearest, sector_join, with_fallback
 from stratafold.session import reachable
 
 GLOBAL_LIMIT = 5000
+#: Targets of a large global system that are estimated at once.
+TARGETS = 256
 EXACT = 1e-10
 
 
@@ -78,6 +82,109 @@ def global_rows(points: DataFrame, axes=("x", "y")) -> np.ndarray:
     return rows
 
 
+def _large(points: DataFrame) -> bool:
+    return points.limit(GLOBAL_LIMIT + 1).count() > GLOBAL_LIMIT
+
+
+def _all_rows(points: DataFrame, axes) -> np.ndarray:
+    """Places and value of all points by id: a few numbers a point, whatever their number."""
+    return points.select(*axes, "value", "id").orderBy("id").toPandas()[[*axes, "value"]].to_numpy(dtype=float)
+
+
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(sum((a[:, None, i] - b[None, :, i]) ** 2 for i in range(a.shape[1])))
+
+
+def _factor(places: np.ndarray, curve, top: float, regularization: float) -> tuple[Factor, float]:
+    """Factor of top - curve(gap) - regularization on the diagonal, and the top in use. Where copies or rounding leave it not positive definite the regularization is added instead, then a higher top is tried: it changes no result, as weights sum to what they have to."""
+    for t, r in ((top, -regularization), (top, regularization), (4 * top, regularization), (16 * top, regularization)):
+        def entries(i: slice, j: slice, t=t, r=r) -> np.ndarray:
+            out = t - curve(_gaps(places[i], places[j]))
+            return out + r * np.eye(len(out)) if i == j else out
+
+        try:
+            return Factor(len(places), entries), t
+        except np.linalg.LinAlgError:
+            pass
+    raise ValueError("the global system is not positive definite; give a search")
+
+
+def _in_turn(batches, axes, estimate):
+    """(id, estimate) batches, so many targets at once."""
+    for b in batches:
+        t = np.column_stack([b.column(1 + i).to_numpy() for i in range(len(axes))])
+        est = np.concatenate([np.zeros(0), *(estimate(t[i : i + TARGETS]) for i in range(0, len(t), TARGETS))])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(est)], ["id", "estimate"])
+
+
+def _large_kriging(points: DataFrame, targets: DataFrame, model: Variogram, k: Kriging, mean: float, axes, variance: bool) -> DataFrame:
+    """Kriging from more than GLOBAL_LIMIT points: the same system as covariances, its drift by a Schur complement. Estimates are made in Arrow batches from the weights of the values; variances need the factor, so they are made on the driver, some targets at a time."""
+    rows = _all_rows(points, axes)
+    places, values = rows[:, :-1], rows[:, -1]
+    curve = lambda h: model_values(model, h)
+    bounded = model.kind in ("spherical", "exponential", "gaussian", "nugget")
+    sill = model.nugget + model.sill
+    top = sill if bounded else 2 * float(curve(np.array([np.linalg.norm(np.ptp(places, axis=0))]))[0])
+    simple = k.kind == "simple"
+    if simple:
+        top = sill
+    drift = lambda t: np.ones((len(t), 1)) if k.kind == "ordinary" else np.column_stack([np.ones(len(t)), t])
+    factor, top = _factor(places, curve, top, -k.regularization if simple else k.regularization)
+    if simple:
+        beta, half = np.zeros(0), np.zeros((len(places), 0))
+        alpha = factor.backward(factor.forward((values - mean)[:, None]))[:, 0]
+    else:
+        half = factor.forward(drift(places))
+        v = factor.forward(values[:, None])
+        beta = np.linalg.solve(half.T @ half, half.T @ v)[:, 0]
+        alpha = factor.backward(v - half @ beta[:, None])[:, 0]
+
+    def estimate(t: np.ndarray) -> np.ndarray:
+        near = (top - curve(_gaps(t, places))) @ alpha
+        return mean + near if simple else near + drift(t) @ beta
+
+    if not variance:
+        return targets.select("id", *axes).mapInArrow(lambda batches: _in_turn(batches, axes, estimate), "id long, estimate double").withColumn("variance", F.lit(None).cast("double"))
+    found = targets.select("id", *axes).toPandas()
+    at = found[list(axes)].to_numpy(dtype=float)
+    est, var = np.zeros(len(at)), np.zeros(len(at))
+    gram = half.T @ half
+    for i in range(0, len(at), TARGETS):
+        t = at[i : i + TARGETS]
+        est[i : i + TARGETS] = estimate(t)
+        g = factor.forward(top - curve(_gaps(places, t)))
+        left = top - (g * g).sum(0)
+        if not simple:
+            aim = drift(t).T
+            lack = aim - half.T @ g
+            left += (np.linalg.solve(gram, lack) * lack).sum(0)
+        var[i : i + TARGETS] = np.maximum(left, 0)
+    found = found.assign(estimate=est, variance=var)[["id", "estimate", "variance"]]
+    return points.sparkSession.createDataFrame(pa.Table.from_pandas(found, preserve_index=False))
+
+
+def _large_rbf(points: DataFrame, targets: DataFrame, p: Rbf, axes) -> DataFrame:
+    """The linear kernel at more than GLOBAL_LIMIT points: a constant less the distances is positive definite, and the constant is taken out again."""
+    rows = _all_rows(points, axes)
+    places, values = rows[:, :-1], rows[:, -1:]
+    factor, top = _factor(places, lambda h: h, 2 * float(np.linalg.norm(np.ptp(places, axis=0))) or 1.0, p.regularization)
+    poly = _terms(places, max(p.degree, 0))
+    half, v = factor.forward(poly), factor.forward(values)
+    if p.degree >= 0:
+        beta = np.linalg.solve(half.T @ half, half.T @ v)
+        w = -factor.backward(v - half @ beta)
+    else:
+        # distances w = values, distances = top - B: B w = top (sum of w) - values
+        total = -(half.T @ v) / (1 - top * (half.T @ half))
+        w, beta = -factor.backward(v - half * (top * total)), np.zeros((0, 1))
+
+    def estimate(t: np.ndarray) -> np.ndarray:
+        near = _gaps(t, places) @ w[:, 0]
+        return near + _terms(t, p.degree) @ beta[:, 0] if p.degree >= 0 else near
+
+    return targets.select("id", *axes).mapInArrow(lambda batches: _in_turn(batches, axes, estimate), "id long, estimate double")
+
+
 def model_values(model: Variogram, h: np.ndarray) -> np.ndarray:
     n, s, a = model.nugget, model.sill, model.range
     r = h / a
@@ -135,11 +242,13 @@ def _gathered(points: DataFrame, targets: DataFrame, search: Search, axes) -> Da
     return targets.select("id", *(F.col(c).alias(f"t{c}") for c in axes)).join(near, "id", "left").select("id", *(f"t{c}" for c in axes), *lists)
 
 
-def kriging(points: DataFrame, targets: DataFrame, model: Variogram, k: Kriging = Kriging(), search: Search | None = None, axes=("x", "y")) -> DataFrame:
-    """(id, estimate, variance) in two or three dimensions. With ``search`` local: a target without neighbours gets the mean and the sill. A singular system gives its nearest value and nugget plus sill."""
+def kriging(points: DataFrame, targets: DataFrame, model: Variogram, k: Kriging = Kriging(), search: Search | None = None, axes=("x", "y"), variance: bool = True) -> DataFrame:
+    """(id, estimate, variance) in two or three dimensions; where ``variance`` is not wanted, large global systems leave it null. With ``search`` local: a target without neighbours gets the mean and the sill. A singular system gives its nearest value and nugget plus sill."""
     mean = k.mean if k.mean is not None else (points.agg(F.avg("value")).first()[0] or 0.0)
     reachable(points.sparkSession)
     if search is None:
+        if _large(points):
+            return _large_kriging(points, targets, model, k, mean, axes, variance)
         rows = global_rows(points, axes)
         return targets.select("id", *axes).mapInArrow(lambda batches: (_global_batch(b, rows, model, k, mean) for b in batches), "id long, estimate double, variance double")
     rows = _gathered(points, targets, search, axes)
@@ -221,6 +330,8 @@ def rbf(points: DataFrame, targets: DataFrame, p: Rbf = Rbf(), search: Search |
     reachable(points.sparkSession)
     mean = points.agg(F.avg("value")).first()[0] or 0.0
     if search is None:
+        if p.kernel == "linear" and _large(points):
+            return _large_rbf(points, targets, p, axes)
         rows = global_rows(points, axes)
         places = rows[:, :-1]
         w = _rbf_solve(places, rows[:, -1], p)

@@ -69,7 +69,7 @@ def _at_points(name: str, estimate):
     register(name, with_("em") + f"SELECT id, {R('value', 'estimate', 4)} FROM em", 4)(lambda s, d: estimate(vector_points(s, d), vector_points(s, d)).select("id", "estimate"))
 
 
-_at_points("kriging_at_points", lambda p, t: interpolate.kriging(p, t, _SMOOTH))
+_at_points("kriging_at_points", lambda p, t: interpolate.kriging(p, t, _SMOOTH, variance=False))
 _at_points("simple_kriging_at_points", lambda p, t: interpolate.kriging(p, t, _SMOOTH, Kriging("simple")))
 _at_points("local_kriging_at_points", lambda p, t: interpolate.kriging(p, t, _SMOOTH, search=Search(radius=0.1, max_points=8, min_points=3)))
 _at_points("solid_kriging_at_points", lambda p, t: interpolate.kriging(p, t, _SMOOTH, axes=("x", "y", "z")))
@@ -79,12 +79,12 @@ _at_points("local_rbf_at_points", lambda p, t: interpolate.rbf(p, t, Rbf("linear
 
 @register("kriging_of_constant", f"WITH {_NODES_SQL} SELECT id, {R('5', 'estimate')} FROM nodes")
 def _(s, d):
-    return interpolate.kriging(_valued(s, d, "5.0D"), grid.regular(s, _NODES), _SMOOTH).select("id", "estimate")
+    return interpolate.kriging(_valued(s, d, "5.0D"), grid.regular(s, _NODES), _SMOOTH, variance=False).select("id", "estimate")
 
 
 @register("kriging_of_plane", f"WITH {_NODES_SQL} SELECT id, {R(_PLANE, 'estimate', 4)} FROM nodes", 4)
 def _(s, d):
-    return interpolate.kriging(_valued(s, d, _PLANE), grid.regular(s, _NODES), _SMOOTH, Kriging("universal")).select("id", "estimate")
+    return interpolate.kriging(_valued(s, d, _PLANE), grid.regular(s, _NODES), _SMOOTH, Kriging("universal"), variance=False).select("id", "estimate")
 
 
 @register("rbf_of_plane", f"WITH {_NODES_SQL} SELECT id, {R(_PLANE, 'estimate', 4)} FROM nodes", 4)
