@@ -27,6 +27,8 @@ from stratafold.session import reachable
 GLOBAL_LIMIT = 5000
 #: Targets of a large global system that are estimated at once.
 TARGETS = 256
+#: Share of the sill up to which a regularization is there for the arithmetic only.
+HELP = 1e-7
 EXACT = 1e-10
 
 
@@ -95,15 +97,15 @@ def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(sum((a[:, None, i] - b[None, :, i]) ** 2 for i in range(a.shape[1])))
 
 
-def _factor(places: np.ndarray, curve, top: float, regularization: float) -> tuple[Factor, float]:
-    """Factor of top - curve(gap) - regularization on the diagonal, and the top in use. Where copies or rounding leave it not positive definite the regularization is added instead, then a higher top is tried: it changes no result, as weights sum to what they have to."""
+def _factor(places: np.ndarray, curve, top: float, regularization: float) -> tuple[Factor, float, float]:
+    """Factor of top - curve(gap) - regularization on the diagonal, the top in use and what was added to the diagonal. Where copies or rounding leave it not positive definite the regularization is added instead, then a higher top is tried: it changes no result, as weights sum to what they have to."""
     for t, r in ((top, -regularization), (top, regularization), (4 * top, regularization), (16 * top, regularization)):
         def entries(i: slice, j: slice, t=t, r=r) -> np.ndarray:
             out = t - curve(_gaps(places[i], places[j]))
             return out + r * np.eye(len(out)) if i == j else out
 
         try:
-            return Factor(len(places), entries), t
+            return Factor(len(places), entries), t, r
         except np.linalg.LinAlgError:
             pass
     raise ValueError("the global system is not positive definite; give a search")
@@ -129,15 +131,24 @@ def _large_kriging(points: DataFrame, targets: DataFrame, model: Variogram, k: K
     if simple:
         top = sill
     drift = lambda t: np.ones((len(t), 1)) if k.kind == "ordinary" else np.column_stack([np.ones(len(t)), t])
-    factor, top = _factor(places, curve, top, -k.regularization if simple else k.regularization)
+    factor, top, added = _factor(places, curve, top, -k.regularization if simple else k.regularization)
     if simple:
         beta, half = np.zeros(0), np.zeros((len(places), 0))
         alpha = factor.backward(factor.forward((values - mean)[:, None]))[:, 0]
     else:
         half = factor.forward(drift(places))
-        v = factor.forward(values[:, None])
-        beta = np.linalg.solve(half.T @ half, half.T @ v)[:, 0]
-        alpha = factor.backward(v - half @ beta[:, None])[:, 0]
+
+        def solved(right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            v = factor.forward(right[:, None])
+            b = np.linalg.solve(half.T @ half, half.T @ v)
+            return factor.backward(v - half @ b)[:, 0], b[:, 0]
+
+        alpha, beta = solved(values)
+        # a regularization that only helps the factor is taken out again, which copies of a place (those have it added) would not allow
+        term = alpha
+        for _ in range(2 if added < 0 and k.regularization <= HELP * top else 0):
+            term, turn = solved(added * term)
+            alpha, beta = alpha + term, beta + turn
 
     def estimate(t: np.ndarray) -> np.ndarray:
         near = (top - curve(_gaps(t, places))) @ alpha
@@ -167,7 +178,7 @@ def _large_rbf(points: DataFrame, targets: DataFrame, p: Rbf, axes) -> DataFrame
     """The linear kernel at more than GLOBAL_LIMIT points: a constant less the distances is positive definite, and the constant is taken out again."""
     rows = _all_rows(points, axes)
     places, values = rows[:, :-1], rows[:, -1:]
-    factor, top = _factor(places, lambda h: h, 2 * float(np.linalg.norm(np.ptp(places, axis=0))) or 1.0, p.regularization)
+    factor, top, _ = _factor(places, lambda h: h, 2 * float(np.linalg.norm(np.ptp(places, axis=0))) or 1.0, p.regularization)
     poly = _terms(places, max(p.degree, 0))
     half, v = factor.forward(poly), factor.forward(values)
     if p.degree >= 0:
