@@ -162,7 +162,7 @@ def _table(folder, name):
     pq.write_table(pa.table({"vec_id": pa.array(range(600), pa.int64()), "embedding": pa.array(rows.tolist(), pa.list_(pa.float32())), "label": pa.array([0] * 600, pa.int32())}), f"{folder}/{name}.parquet")
 
 
-@pytest.mark.parametrize("name", ["sector_join", "residuals", "gridded_errors", "leave_one_out"])
+@pytest.mark.parametrize("name", ["sector_join", "residuals", "gridded_errors", "leave_one_out", "method_comparison"])
 def test_sparse_places_beside_crowded_ones_as_in_sql(spark, tmp_path, no_pairs, name):
     import __spark_entry__ as entry
     import duckdb
