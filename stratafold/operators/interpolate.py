@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from stratafold.functions.scalar import anisotropy, idw_weight
 from stratafold.model import Kriging, Rbf, Search, Variogram
 from stratafold.operators.dense import Factor
+from stratafold.operators.iterated import Kernel, System
 from stratafold.operators.neighbours import nearest_join, radius_nearest, sector_join, with_fallback
 from stratafold.session import reachable
 
@@ -93,22 +94,48 @@ def _all_rows(points: DataFrame, axes) -> np.ndarray:
     return points.select(*axes, "value", "id").orderBy("id").toPandas()[[*axes, "value"]].to_numpy(dtype=float)
 
 
-def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(sum((a[:, None, i] - b[None, :, i]) ** 2 for i in range(a.shape[1])))
+def _solved(spark, places: np.ndarray, model: Variogram | None, top: float, regularization: float, solve):
+    """``solve`` of a system (n, solve, squares, added, top) of top - curve(gap) - regularization on the diagonal. Where copies or rounding leave it not positive definite the regularization is added instead, then a higher top is tried: it changes no result, as weights sum to what they have to.
+
+    A regularization that is there for the arithmetic only is left out. Where conjugate gradients do not end, the factor in a file of the driver is used.
+    """
+    less = 0.0 if 0 < regularization <= HELP * top else -regularization
+    for kind, tops in ((System, ((top, less), (top, abs(regularization)), (4 * top, abs(regularization)))), (_Factored, ((top, -regularization), (top, regularization), (4 * top, regularization), (16 * top, regularization)))):
+        for t, r in tops:
+            system = None
+            try:
+                system = kind(spark, places, Kernel(model, t, model_values), r)
+                return solve(system)
+            except np.linalg.LinAlgError:
+                pass
+            finally:
+                if system is not None:
+                    system.close()
+    raise ValueError("the global system is not positive definite; give a search")
 
 
-def _factor(places: np.ndarray, curve, top: float, regularization: float) -> tuple[Factor, float, float]:
-    """Factor of top - curve(gap) - regularization on the diagonal, the top in use and what was added to the diagonal. Where copies or rounding leave it not positive definite the regularization is added instead, then a higher top is tried: it changes no result, as weights sum to what they have to."""
-    for t, r in ((top, -regularization), (top, regularization), (4 * top, regularization), (16 * top, regularization)):
-        def entries(i: slice, j: slice, t=t, r=r) -> np.ndarray:
-            out = t - curve(_gaps(places[i], places[j]))
-            return out + r * np.eye(len(out)) if i == j else out
+class _Factored:
+    """A system by its factor; what helped the arithmetic of the factor is taken out again by turns of solving."""
 
-        try:
-            return Factor(len(places), entries), t, r
-        except np.linalg.LinAlgError:
-            pass
-    raise ValueError("the global system is not positive definite; give a search")
+    def __init__(self, spark, places: np.ndarray, kernel: Kernel, added: float) -> None:
+        self.places, self.kernel, self.added = places, kernel, added
+        entries = lambda i, j: kernel(places[i], places[j]) + added * np.eye(i.stop - i.start) if i == j else kernel(places[i], places[j])
+        self.factor = Factor(len(places), entries)
+
+    def close(self) -> None:
+        self.factor.file.close()
+
+    def solve(self, right: np.ndarray) -> np.ndarray:
+        out = term = self.factor.backward(self.factor.forward(right))
+        # copies of a place, which have it added, would not allow that
+        for _ in range(2 if -HELP * self.kernel.top <= self.added < 0 else 0):
+            term = self.factor.backward(self.factor.forward(self.added * term))
+            out = out + term
+        return out
+
+    def squares(self, targets: np.ndarray) -> np.ndarray:
+        parts = (self.factor.forward(self.kernel(self.places, targets[i : i + TARGETS])) for i in range(0, len(targets), TARGETS))
+        return np.concatenate([np.zeros(0), *((g * g).sum(0) for g in parts)])
 
 
 def _in_turn(batches, axes, estimate):
@@ -119,81 +146,79 @@ def _in_turn(batches, axes, estimate):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(est)], ["id", "estimate"])
 
 
+def _spread(targets: DataFrame, n: int) -> DataFrame:
+    """Targets dealt to all cores, as each costs a pass over all points."""
+    cores = targets.sparkSession.sparkContext.defaultParallelism
+    return targets.repartition(4 * cores) if n > GLOBAL_LIMIT else targets
+
+
 def _large_kriging(points: DataFrame, targets: DataFrame, model: Variogram, k: Kriging, mean: float, axes, variance: bool) -> DataFrame:
-    """Kriging from more than GLOBAL_LIMIT points: the same system as covariances, its drift by a Schur complement. Estimates are made in Arrow batches from the weights of the values; variances need the factor, so they are made on the driver, some targets at a time."""
+    """Kriging from more than GLOBAL_LIMIT points: the same system as covariances, its drift by a Schur complement. Estimates are made in Arrow batches from the weights of the values; variances are made on the driver, whose rows are few numbers a target."""
     rows = _all_rows(points, axes)
     places, values = rows[:, :-1], rows[:, -1]
-    curve = lambda h: model_values(model, h)
+    spark = points.sparkSession
     bounded = model.kind in ("spherical", "exponential", "gaussian", "nugget")
     sill = model.nugget + model.sill
-    top = sill if bounded else 2 * float(curve(np.array([np.linalg.norm(np.ptp(places, axis=0))]))[0])
     simple = k.kind == "simple"
-    if simple:
-        top = sill
-    drift = lambda t: np.ones((len(t), 1)) if k.kind == "ordinary" else np.column_stack([np.ones(len(t)), t])
-    factor, top, added = _factor(places, curve, top, -k.regularization if simple else k.regularization)
-    if simple:
-        beta, half = np.zeros(0), np.zeros((len(places), 0))
-        alpha = factor.backward(factor.forward((values - mean)[:, None]))[:, 0]
-    else:
-        half = factor.forward(drift(places))
-
-        def solved(right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            v = factor.forward(right[:, None])
-            b = np.linalg.solve(half.T @ half, half.T @ v)
-            return factor.backward(v - half @ b)[:, 0], b[:, 0]
+    top = sill if bounded or simple else 2 * float(model_values(model, np.array([np.linalg.norm(np.ptp(places, axis=0))]))[0])
+    drift = lambda t: np.zeros((len(t), 0)) if simple else np.ones((len(t), 1)) if k.kind == "ordinary" else np.column_stack([np.ones(len(t)), t])
+    found = targets.select("id", *axes).toPandas() if variance else None
+
+    def solve(system):
+        if simple:
+            alpha, half, beta = system.solve((values - mean)[:, None])[:, 0], np.zeros((len(places), 0)), np.zeros(0)
+        else:
+            both = system.solve(np.column_stack([values, drift(places)]))
+            half = both[:, 1:]
+            beta = np.linalg.solve(drift(places).T @ half, half.T @ values)
+            alpha = both[:, 0] - half @ beta
+        gram, kernel = drift(places).T @ half, system.kernel
+        if not variance:
+            return kernel, alpha, beta, None
+        at = found[list(axes)].to_numpy(dtype=float)
+        left = kernel.top - system.squares(at)
+        if not simple:
+            lack = drift(at).T - kernel.times(at, places, half).T
+            left += (np.linalg.solve(gram, lack) * lack).sum(0)
+        return kernel, alpha, beta, np.maximum(left, 0)
 
-        alpha, beta = solved(values)
-        # a regularization that only helps the factor is taken out again, which copies of a place (those have it added) would not allow
-        term = alpha
-        for _ in range(2 if added < 0 and k.regularization <= HELP * top else 0):
-            term, turn = solved(added * term)
-            alpha, beta = alpha + term, beta + turn
+    kernel, alpha, beta, var = _solved(spark, places, model, top, -k.regularization if simple else k.regularization, solve)
 
     def estimate(t: np.ndarray) -> np.ndarray:
-        near = (top - curve(_gaps(t, places))) @ alpha
+        near = kernel.times(t, places, alpha[:, None])[:, 0]
         return mean + near if simple else near + drift(t) @ beta
 
     if not variance:
-        return targets.select("id", *axes).mapInArrow(lambda batches: _in_turn(batches, axes, estimate), "id long, estimate double").withColumn("variance", F.lit(None).cast("double"))
-    found = targets.select("id", *axes).toPandas()
-    at = found[list(axes)].to_numpy(dtype=float)
-    est, var = np.zeros(len(at)), np.zeros(len(at))
-    gram = half.T @ half
-    for i in range(0, len(at), TARGETS):
-        t = at[i : i + TARGETS]
-        est[i : i + TARGETS] = estimate(t)
-        g = factor.forward(top - curve(_gaps(places, t)))
-        left = top - (g * g).sum(0)
-        if not simple:
-            aim = drift(t).T
-            lack = aim - half.T @ g
-            left += (np.linalg.solve(gram, lack) * lack).sum(0)
-        var[i : i + TARGETS] = np.maximum(left, 0)
-    found = found.assign(estimate=est, variance=var)[["id", "estimate", "variance"]]
-    return points.sparkSession.createDataFrame(pa.Table.from_pandas(found, preserve_index=False))
+        return _spread(targets.select("id", *axes), len(places)).mapInArrow(lambda batches: _in_turn(batches, axes, estimate), "id long, estimate double").withColumn("variance", F.lit(None).cast("double"))
+    found = found.assign(estimate=estimate(found[list(axes)].to_numpy(dtype=float)), variance=var)[["id", "estimate", "variance"]]
+    return spark.createDataFrame(pa.Table.from_pandas(found, preserve_index=False))
 
 
 def _large_rbf(points: DataFrame, targets: DataFrame, p: Rbf, axes) -> DataFrame:
     """The linear kernel at more than GLOBAL_LIMIT points: a constant less the distances is positive definite, and the constant is taken out again."""
     rows = _all_rows(points, axes)
     places, values = rows[:, :-1], rows[:, -1:]
-    factor, top, _ = _factor(places, lambda h: h, 2 * float(np.linalg.norm(np.ptp(places, axis=0))) or 1.0, p.regularization)
     poly = _terms(places, max(p.degree, 0))
-    half, v = factor.forward(poly), factor.forward(values)
-    if p.degree >= 0:
-        beta = np.linalg.solve(half.T @ half, half.T @ v)
-        w = -factor.backward(v - half @ beta)
-    else:
+
+    def solve(system):
+        both = system.solve(np.column_stack([values, poly]))
+        v, half = both[:, :1], both[:, 1:]
+        if p.degree >= 0:
+            beta = np.linalg.solve(poly.T @ half, poly.T @ v)
+            return system.kernel, -(v - half @ beta), beta
         # distances w = values, distances = top - B: B w = top (sum of w) - values
-        total = -(half.T @ v) / (1 - top * (half.T @ half))
-        w, beta = -factor.backward(v - half * (top * total)), np.zeros((0, 1))
+        top = system.kernel.top
+        total = -(poly.T @ v) / (1 - top * (poly.T @ half))
+        return system.kernel, -(v - half * (top * total)), np.zeros((0, 1))
+
+    _, w, beta = _solved(points.sparkSession, places, None, 2 * float(np.linalg.norm(np.ptp(places, axis=0))) or 1.0, p.regularization, solve)
+    gap = Kernel(None, 0.0, model_values)
 
     def estimate(t: np.ndarray) -> np.ndarray:
-        near = _gaps(t, places) @ w[:, 0]
+        near = -gap.times(t, places, w)[:, 0]
         return near + _terms(t, p.degree) @ beta[:, 0] if p.degree >= 0 else near
 
-    return targets.select("id", *axes).mapInArrow(lambda batches: _in_turn(batches, axes, estimate), "id long, estimate double")
+    return _spread(targets.select("id", *axes), len(places)).mapInArrow(lambda batches: _in_turn(batches, axes, estimate), "id long, estimate double")
 
 
 def model_values(model: Variogram, h: np.ndarray) -> np.ndarray:

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratafold.model import Kriging, Rbf, Variogram
-from stratafold.operators import dense, interpolate
+from stratafold.operators import dense, interpolate, iterated
 
+NAMES = ["kriging_at_points", "kriging_of_constant", "kriging_ordinary", "kriging_universal", "kriging_intervals", "kriging_of_plane", "kriging_simple", "rbf_at_points"]
 MODELS = [Variogram("spherical", 0.05, 1.0, 3.0), Variogram("exponential", 0.0, 1.0, 2.0), Variogram("linear", 0.1, 0.5, 1.0)]
 
 
@@ -60,3 +61,30 @@ def test_other_kernels_are_refused(tables, monkeypatch):
     monkeypatch.setattr(interpolate, "GLOBAL_LIMIT", 100)
     with pytest.raises(ValueError):
         interpolate.rbf(*tables, Rbf("cubic", degree=1))
+
+
+def test_nearest_earlier_points():
+    places = np.random.default_rng(2).normal(0, 1, (900, 3))
+    order = iterated.ordered(places)
+    assert sorted(order) == list(range(900))
+    p = places[order]
+    for i, near in zip(range(700, 760), iterated._earlier(p, 700, 760, 30)):
+        assert set(near) == set(np.argsort(np.linalg.norm(p[:i] - p[i], axis=1))[:30])
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_queries_without_a_factor(spark, sf, monkeypatch, name):
+    """The registered queries beyond the limit, where n³ operations and 4 n² bytes of a factor are not to be had."""
+    import __spark_entry__ as entry
+
+    def none(*_):
+        raise AssertionError("a factor was made")
+
+    small = sorted(tuple(r) for r in entry.queries()[name](spark, sf).collect())
+    monkeypatch.setattr(interpolate, "GLOBAL_LIMIT", 100)
+    monkeypatch.setattr(interpolate, "Factor", none)
+    monkeypatch.setattr(iterated, "BLOCK", 96)
+    large = sorted(tuple(r) for r in entry.queries()[name](spark, sf).collect())
+    assert len(large) == len(small)
+    for a, b in zip(large, small):
+        assert a == pytest.approx(b, abs=3e-6)
