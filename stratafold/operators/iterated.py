@@ -16,13 +16,13 @@ from pyspark.sql import SparkSession
 from stratafold.model import Variogram
 
 #: Earlier points of each in the preconditioner, nearest points of a target's first guess.
-NEAREST, GUESS = 30, 200
+NEAREST, GUESS = 60, 400
 #: Rows and columns of a tile of covariances, rows of a block, tasks of a turn, columns up to which each covariance is computed once for both of its rows.
 TILE, BLOCK, TASKS, NARROW = (64, 1024), 2048, 24, 8
 #: Bytes of the columns that are solved at once.
 WIDE = 64 << 20
 #: Turns at most, turns without gain that end them, the residual aimed at and the largest one accepted, of the largest number on the right; share of the top that is left to a target's variance.
-TURNS, STILL, AIM, ACCEPTED, LEFT = 80, 10, 1e-13, 1e-6, 1e-10
+TURNS, STILL, AIM, ACCEPTED, LEFT = 80, 10, 1e-11, 1e-6, 1e-8
 
 
 def tile(model: Variogram | None, top: float, values: Callable, a: np.ndarray, b: np.ndarray) -> np.ndarray:
