@@ -22,7 +22,7 @@ TILE, BLOCK, TASKS, NARROW = (64, 1024), 2048, 24, 8
 #: Bytes of the columns that are solved at once.
 WIDE = 64 << 20
 #: Turns at most, turns without gain that end them, the residual aimed at and the largest one accepted, of the largest number on the right; share of the top that is left to a target's variance.
-TURNS, STILL, AIM, ACCEPTED, LEFT = 80, 10, 1e-11, 1e-6, 1e-8
+TURNS, STILL, AIM, ACCEPTED, LEFT = 80, 10, 1e-12, 1e-6, 1e-7
 
 
 def tile(model: Variogram | None, top: float, values: Callable, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -254,16 +254,25 @@ class System:
         return out
 
     def _squares(self, targets: np.ndarray) -> np.ndarray:
-        places, kernel, n = self.places, self.kernel, self.n
+        kernel, n, added, shared = self.kernel, self.n, self.added, self.shared
+        tasks = min(TASKS, len(targets))
+
+        def begun(k: int) -> list[np.ndarray]:
+            places, rests, totals = shared.value, [], []
+            for t in targets[k::tasks]:
+                gap = ((places - t) ** 2).sum(1)
+                near = np.array([gap.argmin()]) if not gap.all() else np.argpartition(gap, GUESS)[:GUESS] if n > GUESS else np.arange(n)
+                x = np.linalg.solve(kernel(places[near], places[near]) + added * np.eye(len(near)), kernel(places[near], t[None]))
+                covered = kernel.times(places, t[None], np.ones((1, 1)))[:, 0]
+                rest = covered - kernel.times(places, places[near], x)[:, 0]
+                rest[near] -= added * x[:, 0]
+                rests.append(rest)
+                totals.append(x[:, 0] @ (covered[near] + rest[near]))
+            return [np.stack(rests), np.array(totals)]
+
         r, total = np.empty((n, len(targets))), np.zeros(len(targets))
-        for c, t in enumerate(targets):
-            gap = ((places - t) ** 2).sum(1)
-            near = np.array([gap.argmin()]) if not gap.all() else np.argpartition(gap, GUESS)[:GUESS] if n > GUESS else np.arange(n)
-            x = np.linalg.solve(kernel(places[near], places[near]) + self.added * np.eye(len(near)), kernel(places[near], t[None]))
-            k = kernel.times(places, t[None], np.ones((1, 1)))[:, 0]
-            r[:, c] = k - kernel.times(places, places[near], x)[:, 0]
-            r[near, c] -= self.added * x[:, 0]
-            total[c] = x[:, 0] @ (k[near] + r[near, c])
+        for k, (rests, totals) in self._run(begun, tasks, (np.float64, np.float64)).items():
+            r[:, k::tasks], total[k::tasks] = rests.reshape(-1, n).T, totals
         p = self.nearly(r)
         rz, at = (r * p).sum(0), np.arange(len(targets))
         for _ in range(TURNS):
